@@ -5,20 +5,104 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from lekhya.llm import simhash_dedup
+from lekhya.llm import decontaminate, matroska, mixing, simhash_dedup, url_filter, warc
+from lekhya.llm.common import keep
+
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labelled outcome is that of the label with its id: good if of quality 1 and not toxic."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), labels, RULES)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = keep(warc.archives(_table(spark, sf_dir, "pages")), "archives")
+    return warc.records(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_url_filter": op3_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_warc_dictionary": op8_warc_dictionary,
+    "op9_matroska_media": op9_matroska_media,
 }
-ORACLES: dict[str, str] = {}
+
+_OP3 = r"""
+with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+own as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts),
+good as (select doc_id, min(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels group by doc_id),
+hosts as (select host, count(good) as n, coalesce(sum(good), 0) as k, array_to_string(list_slice(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'), -2, -1), '.') as domain
+  from own left join good on page_id = doc_id group by host),
+domains as (select domain, regexp_replace(domain, '^[^.]*\.', '') as suffix, sum(n) as n, sum(k) as k from hosts group by domain),
+tops as (select suffix, sum(n) as n, sum(k) as k from domains group by suffix),
+total as (select (sum(k) + 1.0) / (sum(n) + 2.0) as m from tops),
+levels as (select 1 as level, n, k from tops union all select 2, n, k from domains union all select 3, n, k from hosts),
+moments as (select level, count(*) as g, sum(n) as n, sum(n * n) as nn, sum(n * (k / n - m) * (k / n - m)) as w, any_value(m) * (1 - any_value(m)) as v from levels, total where n > 0 group by level),
+rho as (select level, g, (w - v * (g - 1)) / (v * (n - nn / n - (g - 1))) as r from moments),
+strength as (select level, case when g < 2 or r is null or r <= 0 then 1000.0 else least(greatest((1 - r) / r, 8.0), 1000.0) end as s from rho),
+s as (select max(s) filter (level = 1) as s1, max(s) filter (level = 2) as s2, max(s) filter (level = 3) as s3, any_value(m) as m from strength, total),
+t as (select suffix, (m * s1 + k) / (s1 + n) as mt from tops, s),
+d as (select domain, (mt * s2 + n0.k) / (s2 + n0.n) as md from domains n0 join t using (suffix), s),
+h as (select host, (md * s3 + k) / (s3 + n) as mh, s3 + n as size from hosts join d using (domain), s),
+b as (select host, mh - 1.645 * sqrt(mh * (1 - mh) / (size + 1)) as bound from h),
+rules(rule, name, start, what) as (values ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+fit as (select page_id as pid, host as ph, path as pp, max_by(rule, length(rule)) as rule, max_by(what, length(rule)) as what
+  from (select distinct page_id, host, path from own) join rules on (host = name or ends_with(host, '.' || name)) and starts_with(path, start) group by all)
+select page_id, own.host, path, rule, coalesce(what, case when bound >= 0.5 then 'allow' else 'block' end) as verdict
+from own join b using (host) left join fit on pid is not distinct from page_id and ph = own.host and pp = path
+"""
+
+#: Rounds of the sharing: each stops at least one source, unless none is above; 24 exceed the 20 sources of the tables.
+_OP6 = r"""
+with recursive own as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(doc_id::varchar, '')) as key from documents),
+totals as (select source, sum(size)::bigint as n, ([3.0, 1.0, 2.0])[1 + (row_number() over (order by source nulls last) - 1) % 3]::double as w from own group by source),
+share(round, source, n, w, stopped) as (
+  select 0, source, n, w, false from totals
+  union all
+  select round + 1, source, n, w, stopped or (1.5 * sum(n) over () - sum(case when stopped then 2.0 * n else 0 end) over ()) * w / nullif(sum(case when stopped then 0 else w end) over (), 0) > 2.0 * n
+  from share where round < 24),
+want as (select source as s, n as source_size, case when stopped then 2.0 * n else (1.5 * sum(n) over () - sum(case when stopped then 2.0 * n else 0 end) over ()) * w / sum(case when stopped then 0 else w end) over () end as target from share where round = 24),
+placed as (select *, coalesce(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from own)
+select doc_id, size::bigint as size, source_size, target::double as target,
+  ((case when source_size > 0 then floor(target / source_size) else 0 end) * size
+   + least(greatest(round(target - (case when source_size > 0 then floor(target / source_size) else 0 end) * source_size) - before, 0), size))::bigint as taken
+from placed join want on source is not distinct from s
+"""
+
+_OP8 = r"""
+with own as (select page_id, coalesce(html, '') as html from pages),
+sums as (select page_id, octet_length(encode(html)) as n, sha1(html) as sha, min(page_id) over (partition by sha1(html)) as first from own),
+bits as (select *, array_to_string(list_transform(range(0, 40), lambda i: lpad(bin(instr('0123456789abcdef', substr(sha, i + 1, 1)) - 1), 4, '0')), '') as b from sums)
+select page_id, n::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * substr(b, 5 * j + 1, 1)::int + 8 * substr(b, 5 * j + 2, 1)::int + 4 * substr(b, 5 * j + 3, 1)::int + 2 * substr(b, 5 * j + 4, 1)::int + substr(b, 5 * j + 5, 1)::int)::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from bits
+"""
+ORACLES: dict[str, str] = {"op3_url_filter": _OP3, "op6_source_mixing": _OP6, "op8_warc_dictionary": _OP8}
