@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import decontaminate, matroska, mixing, simhash_dedup, url_filter, warc
+from lekhya.llm import decontaminate, line_dedup, matroska, mixing, secrets, simhash_dedup, url_filter, warc
 from lekhya.llm.common import keep
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -35,6 +35,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = keep(warc.archives(_table(spark, sf_dir, "pages")), "archives")
     return warc.records(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -44,13 +48,21 @@ def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the lines taken out of each document, as a comma-joined list."""
+    out = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_warc_dictionary": op8_warc_dictionary,
     "op9_matroska_media": op9_matroska_media,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _OP3 = r"""
