@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import decontaminate, line_dedup, matroska, mixing, secrets, simhash_dedup, url_filter, warc
+from lekhya.llm import decontaminate, line_dedup, matroska, mixing, quality, secrets, simhash_dedup, url_filter, warc
 from lekhya.llm.common import keep
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -31,6 +31,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_url_filter": op3_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_resampling": op5_quality_resampling,
     "op6_source_mixing": op6_source_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_warc_dictionary": op8_warc_dictionary,
