@@ -19,20 +19,22 @@ BUCKET_BITS = 18
 LABELLED_ROWS = 50_000
 #: Pseudo-counts that draw a bucket's ratio towards one.
 SHRINK = 1.0
-#: A bucket says something from so many standard deviations on.
-SIGMAS = 3.0
+#: A bucket says something from a log-likelihood ratio (G squared) of its counts on; 12 is met by none of 6 expected.
+EVIDENCE = 12.0
 #: Scale of the Gumbel noise, in units of the log weight.
 TEMPERATURE = 0.01
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
 _KIND[tb.WHITE] = 0
+#: Stands for the first pair of every four equal tokens in a row, whatever the token.
+_REPEATED = tb.mix(np.array([0x5EED], tb.U))[0]
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, index of each row's first) of the tokens, then of the pairs of neighbours.
 
     Tokens are runs of letters and digits (bytes from 128 on count as letters) and runs of
-    other visible characters, A-Z lower-cased.
+    other visible characters, A-Z lower-cased. Tokens said four times over share one bucket.
     """
     kind = _KIND[raw]
     edge = np.ones(len(raw) + 1, bool)
@@ -44,6 +46,9 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     h = tb.word_hashes(tb.LOWER[raw], starts, ends)
     first = np.searchsorted(starts, offsets)
     pair = tb.mix(h[:-1] * tb.U(31) + h[1:]) if len(h) > 1 else np.zeros(0, tb.U)
+    if len(pair) > 2:
+        same = h[:-1] == h[1:]
+        pair[:-2][same[:-2] & same[1:-1] & same[2:]] = _REPEATED
     inner = np.ones(len(pair), bool)
     cut = first[1:-1]
     inner[cut[(cut > 0) & (cut <= len(pair))] - 1] = False
@@ -96,8 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> Model:
 
     Raw counts cover every document; the target's come from at most `most` labelled ones. A
     document counts once for a bucket. A ratio is (target count + SHRINK) / (count expected
-    from raw + SHRINK); it says nothing, and is 1, where the target count is within SIGMAS
-    deviations of the expected one, else a text that is copied a few times, with no labelled
+    from raw + SHRINK); it says nothing, and is 1, where the counts' G squared is under
+    EVIDENCE, else a text that is copied a few times, with no labelled
     copy, would lose by each of its words. Expected counts are scaled to fit the median
     bucket. Counts are summed by bucket in a shuffle; at most 2 * 2**BUCKET_BITS rows reach
     the driver, whatever the input.
@@ -136,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> Model:
         weight = np.cumsum(r[order])
         middle = order[np.searchsorted(weight, weight[-1] / 2)]
         expected = r * max(t[middle] / r[middle], share / 2)
-        sure = np.abs(t - expected) >= SIGMAS * np.sqrt(expected)
-        ratio[part] = np.where(sure & (expected >= SIGMAS**2), np.log((t + SHRINK) / (expected + SHRINK)), 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g2 = 2 * (np.where(t > 0, t * np.log(t / expected), 0.0) - (t - expected))
+        ratio[part] = np.where(g2 >= EVIDENCE, np.log((t + SHRINK) / (expected + SHRINK)), 0.0)
     return Model(ratio)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import decontaminate, line_dedup, matroska, mixing, quality, secrets, simhash_dedup, url_filter, warc
+from lekhya.llm import decontaminate, line_dedup, lm_score, matroska, mixing, quality, secrets, simhash_dedup, url_filter, warc
 from lekhya.llm.common import keep
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -21,6 +21,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is that of the label with its id: good if of quality 1 and not toxic."""
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
@@ -60,6 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_url_filter": op3_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_resampling": op5_quality_resampling,
