@@ -23,12 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lekhya/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._lekhya_path = path  # type: ignore[attr-defined]
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete kept tables of which nothing that is still to run makes use."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._lekhya_path)  # type: ignore[attr-defined,union-attr]
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # type: ignore[attr-defined]
 
 
 def mask64(i: int) -> int:
@@ -58,18 +68,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         near = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(m)).alias("x")).select(F.col("a").alias("n"), F.least("x", F.col("a").bitwiseXOR(m)).alias("x"))
         far = both.join(near, F.col("b") == F.col("n")).groupBy("a").agg(F.min("x").alias("x")).select("a", F.least("x", F.col("a").bitwiseXOR(m)).bitwiseXOR(m).alias("p"))
-        far = keep(far, "parents")
+        old, far = e, keep(far, "parents")
         up = far.select(F.col("a").alias("u"), F.col("p").alias("g"))
         jumped = keep(far.join(up, F.col("p") == F.col("u"), "left").select("a", F.coalesce("g", "p").alias("p")), "jumped")
         ja = jumped.select(F.col("a").alias("ka"), F.col("p").alias("pa"))
         jb = jumped.select(F.col("a").alias("kb"), F.col("p").alias("pb"))
         e = e.join(ja, F.col("a") == F.col("ka")).join(jb, F.col("b") == F.col("kb"))
         e = keep(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "edges")
+        former = labels
         if labels is None:
             labels = jumped.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
             labels = labels.join(ja, F.col("root") == F.col("ka"), "left").select("node", F.coalesce("pa", "root").alias("root"))
         labels = keep(labels, "labels")
+        discard(old, far, jumped, *([former] if former is not None else []))
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels
