@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def trim() -> None:
+    """Hand memory that large arrays left behind back to the system: a worker that waits for its next task keeps little."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each; a longer row stands alone, whole."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -61,6 +70,8 @@ def _power(kind: str, n: int) -> np.ndarray:
         base = _MUL if kind == "up" else pow(_MUL, -1, 1 << 64)
         step = np.full(max(n, 1 << 20), base, U)
         step[0] = 1
+        if n > 4 << 20:  # one very long text: not kept
+            return np.cumprod(step, dtype=U)
         _powers[kind] = np.cumprod(step, dtype=U)
     return _powers[kind][:n]
 
