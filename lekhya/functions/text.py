@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from lekhya import lexicon as lx
 
@@ -18,7 +19,7 @@ SCRIPTS = {"devanagari": "\\u0900-\\u097F", "latin": "A-Za-z\\u00C0-\\u024F"}
 SPACE = r"(?U)\s+"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 #: Words are written as characters U+0100.. for the edit distance; more distinct ones than this in a pair would reach the surrogates.
 MOST_DISTINCT = 55_040
 ERROR = "struct<type:string,ref:string,hyp:string,ref_pos:int,hyp_pos:int>"
+_FIELDS = StructType().add("type", StringType()).add("ref", StringType()).add("hyp", StringType()).add("ref_pos", IntegerType()).add("hyp_pos", IntegerType())
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
@@ -29,7 +31,7 @@ def wer(edits: Column, ref_words: Column) -> Column:
     return F.when(ref_words > 0, edits / ref_words).otherwise(F.lit(0.0))
 
 
-@pandas_udf(f"array<{ERROR}>")
+@pandas_udf(ArrayType(_FIELDS))
 def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Differences of two arrays of words, aligned by longest matching blocks: spans are paired word by word, what is left over is deleted or inserted.
 
