@@ -17,7 +17,7 @@ def dataset(rows: DataFrame, path: str) -> None:
 
 def wer_table(rows: DataFrame, path: str) -> None:
     """CSV of model, dataset and percent with two places."""
-    rows.select(F.col("model").alias("Model"), F.col("dataset").alias("Dataset"), F.format_number(F.round(F.col("wer") * 100, 2), "0.00").alias("WER (%)")).write.mode("overwrite").csv(path, header=True)
+    rows.select(F.col("model").alias("Model"), F.col("dataset").alias("Dataset"), F.format_string("%.2f", F.round(F.col("wer") * 100, 2)).alias("WER (%)")).write.mode("overwrite").csv(path, header=True)
 
 
 def error_samples(rows: DataFrame, path: str) -> None:
