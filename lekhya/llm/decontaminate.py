@@ -158,6 +158,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity:
                     if found:
                         cols = list(zip(*found, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
+            tb.trim()
 
         part = source.mapInArrow(run, MATCHES)
         out = part if out is None else out.union(part)
@@ -180,6 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simil
                     for row, *_ in _scan(tb.LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], block, similarity):
                         good[i + row] = False
                 yield batch.filter(pa.array(good))
+            tb.trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

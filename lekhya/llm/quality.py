@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> Model:
         for a in range(0, len(seen), 100_000):
             at = seen[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(every[at]), pa.array(own[at])], names=["bucket", "every", "own"])
+        tb.trim()
 
     counted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "bucket int, every long, own long")
     got = counted.groupBy("bucket").agg(F.sum("every").alias("every"), F.sum("own").alias("own")).toArrow()
@@ -154,6 +155,7 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             w = _weights(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w / TEMPERATURE + gumbel(_ids(batch.column(0))))], names=["doc_id", "log_weight", "sampling_key"])
+        tb.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, log_weight double, sampling_key double")
 
@@ -234,6 +236,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             key = _weights(batch.column(text), model) / TEMPERATURE + gumbel(_ids(batch.column(ids)))
             yield batch.filter(pa.array(key >= model.cut))
+        tb.trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 a, last, at = tb.shingle_rows(first, shingle)
                 found.append(tb.bit_majority(tb.xxh64(own, starts[a], ends[last]), at))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["id", "fp"])
+        tb.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
@@ -74,7 +75,7 @@ def block_keys(radius: int) -> Column:
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b) over distinct fingerprints column fp: edges with the same components as all pairs within radius (0, 1 or 2).
+    """(a, b) over distinct fingerprints column fp: edges with the same components as all pairs within radius (1 or 2).
 
     Candidates share two equal blocks; their pivot tables discard pairs by the largest
     coordinate difference, and the exact distance verifies the rest. Every bucket of up to
@@ -82,8 +83,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     exactly and without pairs: two are within 2 bits if and only if some value is within one
     bit of both, and at most 65 fingerprints are within one bit of a value.
     """
-    if radius not in (0, 1, 2):
-        raise ValueError("radius is 0, 1 or 2")
+    if radius not in (1, 2):
+        raise ValueError("radius is 1 or 2")
     keyed = with_pivots(fps).withColumn("key", F.explode(block_keys(radius)))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
     shared = keep(keyed.join(counts, F.col("key") == F.col("k")).select("key", "n", "fp", "t0", "t1"), "shared")
@@ -93,8 +94,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
     around = full.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
     stars = around.groupBy("z").agg(F.collect_set("fp").alias("m")).where(F.size("m") > 1).select(F.array_min("m").alias("a"), F.explode("m").alias("b")).where("a <> b")
-    if radius < 2:
-        stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) if radius == 0 else full.join(around.where("fp <> z").select(F.col("fp").alias("f"), "z"), F.col("fp") == F.col("z")).select(F.col("fp").alias("a"), F.col("f").alias("b"))
+    if radius == 1:  # neighbours of one another, not of a third value
+        stars = full.join(around.where("fp <> z").select(F.col("fp").alias("f"), "z"), F.col("fp") == F.col("z")).select(F.col("fp").alias("a"), F.col("f").alias("b"))
     return pairs.union(stars)
 
 
@@ -140,6 +141,7 @@ def _similarity_keys(docs: DataFrame, shingle: int, rows: int, bands: int) -> Da
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 keys_col = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), keys_col, pa.array(sets, pa.binary())], names=["id", "fp", "keys", "sh"])
+        tb.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, fp long, keys array<long>, sh binary")
 
