@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from lekhya import lexicon as lx
+from lekhya.functions.once import let
 
 #: Letters ranges of the scripts that filters count; a script is a parameter of the operators.
 SCRIPTS = {"devanagari": "\\u0900-\\u097F", "latin": "A-Za-z\\u00C0-\\u024F"}
@@ -106,15 +107,18 @@ def rewrite_prefix(url: Column, old: str, new: str) -> Column:
 
 def most_repeats(words: Column) -> Column:
     """How often the most frequent word occurs; 0 of none."""
-    return F.coalesce(F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)))), F.lit(0))
+    return F.coalesce(let(words, lambda ws: F.array_max(F.transform(F.array_distinct(ws), lambda w: F.size(F.filter(ws, lambda x: x == w))))), F.lit(0))
 
 
 def most_frequent(words: Column) -> Column:
     """(word, n) of the most frequent word, the first seen of equals; null of none."""
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("n")))
-    first = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"))
-    best = F.aggregate(counted, first, lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))
-    return F.when(F.size(words) > 0, best)
+
+    def best(ws: Column) -> Column:
+        counted = F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("word"), F.size(F.filter(ws, lambda x: x == w)).alias("n")))
+        first = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"))
+        return F.when(F.size(ws) > 0, F.aggregate(counted, first, lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a)))
+
+    return let(words, best)
 
 
 def collapse_repeats(text: Column, least: int = lx.REPAIR_REPEATS) -> Column:

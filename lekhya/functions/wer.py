@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from lekhya.functions.once import let
+
 #: Words are written as characters U+0100.. for the edit distance; more distinct ones than this in a pair would reach the surrogates.
 MOST_DISTINCT = 55_040
 ERROR = "struct<type:string,ref:string,hyp:string,ref_pos:int,hyp_pos:int>"
@@ -19,11 +21,15 @@ _FIELDS = StructType().add("type", StringType()).add("ref", StringType()).add("h
 
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Least number of word edits between two arrays of words, in the JVM: each distinct word becomes a character, Levenshtein does the rest."""
-    known = F.array_distinct(F.concat(ref, hyp))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(255) + F.array_position(known, w)), 4, "0")), "UTF-16BE")
-    spell = lambda words: F.array_join(F.transform(words, letter), "")
-    checked = F.when(F.size(known) > MOST_DISTINCT, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.levenshtein(spell(ref), spell(hyp)))
-    return F.when(ref == hyp, F.lit(0)).otherwise(checked)
+    letter = lambda known: lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(255) + F.array_position(known, w)), 4, "0")), "UTF-16BE")
+
+    def counted(p: Column) -> Column:
+        spell = lambda words: F.array_join(F.transform(words, letter(p["known"])), "")
+        many = F.when(F.size(p["known"]) > MOST_DISTINCT, F.raise_error(F.lit("too many distinct words in a pair")).cast("int"))
+        return F.coalesce(many, F.levenshtein(spell(p["ref"]), spell(p["hyp"])))
+
+    pair = F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("known"))
+    return F.when(ref == hyp, F.lit(0)).otherwise(let(pair, counted))
 
 
 def wer(edits: Column, ref_words: Column) -> Column:

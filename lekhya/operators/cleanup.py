@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.functions import text, wer
+from lekhya.functions.once import once
 from lekhya.operators import loanwords, numbers
 
 MARGIN = 0.001
@@ -17,12 +18,12 @@ def run(pairs: DataFrame, compose=text.nfc) -> DataFrame:
     wer_before compares words as spoken; wer_hyp_only has digits on one side only and mostly
     rises; wer_both has digits on both. Inputs are composed once; what is made of them stays composed.
     """
-    out = pairs.withColumns({"ref": text.normalize_for_wer(F.col("reference"), compose), "hyp": text.normalize_for_wer(F.col("hypothesis"), compose)})
-    out = out.withColumns({"_nr": numbers.normalise(F.col("ref")), "_nh": numbers.normalise(F.col("hyp"))})
-    out = out.withColumns({"ref_digits": text.normalize_for_wer(F.col("_nr.text"), text.nfc_native), "hyp_digits": text.normalize_for_wer(F.col("_nh.text"), text.nfc_native), "conversions": F.col("_nh.conversions")})
-    out = out.withColumn("tags", loanwords.tag(F.col("hyp_digits")))
+    out = once(pairs, ref=text.normalize_for_wer(F.col("reference"), compose), hyp=text.normalize_for_wer(F.col("hypothesis"), compose))
+    out = once(out, _nr=numbers.normalise(F.col("ref")), _nh=numbers.normalise(F.col("hyp")))
+    out = once(out, ref_digits=text.normalize_for_wer(F.col("_nr.text"), text.nfc_native), hyp_digits=text.normalize_for_wer(F.col("_nh.text"), text.nfc_native), conversions=F.col("_nh.conversions"))
+    out = once(out, tags=loanwords.tag(F.col("hyp_digits")))
     rate = lambda a, b: F.round(wer.wer(wer.word_edits(text.tokens(F.col(a)), text.tokens(F.col(b))), F.size(text.tokens(F.col(a)))), 4)
-    out = out.withColumns({"wer_before": rate("ref", "hyp"), "wer_hyp_only": rate("ref", "hyp_digits"), "wer_both": rate("ref_digits", "hyp_digits")}).drop("_nr", "_nh")
+    out = once(out, wer_before=rate("ref", "hyp"), wer_hyp_only=rate("ref", "hyp_digits"), wer_both=rate("ref_digits", "hyp_digits")).drop("_nr", "_nh")
     return out.withColumns({"delta_naive": F.round(F.col("wer_hyp_only") - F.col("wer_before"), 4), "delta_correct": F.round(F.col("wer_both") - F.col("wer_before"), 4)})
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
 from lekhya.functions import text
+from lekhya.functions.once import let
 
 #: A fraction word with the numbers after it stands; idiom words stand one by one; other numbers are read as one.
 CUTS = r"F[ni]+|i|n+|[F.]"
@@ -44,39 +45,44 @@ def span_value(words: Column, numbers: dict[str, int] | None = None, multipliers
 
 def normalise(sentence: Column) -> Column:
     """struct(text, conversions): numbers written as digits, and what was decided about each number word."""
-    raw = text.tokens(sentence)
+    words = let(text.tokens(sentence), lambda raw: F.struct(raw.alias("raw"), F.transform(raw, lambda w: text.strip_edges(w, lx.NUMBER_EDGES)).alias("clean")))
+    return F.when(sentence.isNotNull(), let(words, lambda w: _rewritten(w["raw"], w["clean"])))
+
+
+def _rewritten(raw: Column, clean: Column) -> Column:
     known = F.array(*[F.lit(w) for w in [*lx.UNITS, *lx.TENS, *lx.MULTIPLIERS]])
     fractions = F.array(*[F.lit(w) for w in lx.FRACTIONS])
-    clean = F.transform(raw, lambda w: text.strip_edges(w, lx.NUMBER_EDGES))
 
-    def letter(w: Column, i: Column) -> Column:
+    def in_idiom(i: Column) -> Column:
         near = F.array_join(F.slice(raw, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 4), " ")
-        idiom = reduce(Column.__or__, [near.rlike(p) for p in lx.IDIOMS])
-        return F.when(F.array_contains(fractions, w), "F").when(~F.array_contains(known, w), ".").when(idiom, "i").otherwise("n")
+        return let(near, lambda n: reduce(Column.__or__, [n.rlike(p) for p in lx.IDIOMS]))
 
+    letter = lambda w, i: F.when(F.array_contains(fractions, w), "F").when(~F.array_contains(known, w), ".").when(in_idiom(i), "i").otherwise("n")
     cuts = F.regexp_extract_all(F.array_join(F.transform(clean, letter), ""), F.lit(CUTS), F.lit(0))
-    before = F.transform(cuts, lambda c, k: F.length(F.array_join(F.slice(cuts, 1, k), "")))
-    placed = F.arrays_zip(cuts.alias("cut"), before.alias("at"))
+    placed = let(cuts, lambda cs: F.transform(cs, lambda c, k: F.struct(c.alias("cut"), F.length(F.array_join(F.slice(cs, 1, k), "")).alias("at"))))
     note = lambda original, converted, value, idiom, at: F.struct(original.alias("original"), converted.alias("converted"), value.alias("value"), F.lit(idiom).alias("is_idiom"), at.cast("int").alias("position"))
     nothing = F.lit(None).cast("long")
 
-    def rewrite(p: Column) -> Column:
+    def read(p: Column) -> Column:
         n = F.length(p["cut"])
-        words, value = F.slice(raw, p["at"] + 1, n), F.when(F.startswith(p["cut"], F.lit("n")), span_value(F.slice(clean, p["at"] + 1, n)))
-        last = F.get(words, n - 1)
-        digits = F.concat(value.cast("string"), F.regexp_extract(last, f"[{lx.TAIL_MARKS}]+$", 0))
-        kept = F.transform(words, lambda w, j: note(w, w, nothing, False, p["at"] + j))
+        value = F.when(F.startswith(p["cut"], F.lit("n")), span_value(F.slice(clean, p["at"] + 1, n)))
+        return F.struct(p["cut"].alias("cut"), p["at"].alias("at"), F.slice(raw, p["at"] + 1, n).alias("words"), value.alias("value"))
+
+    def rewrite(p: Column) -> Column:
+        last = F.get(p["words"], F.size(p["words"]) - 1)
+        digits = F.concat(p["value"].cast("string"), F.regexp_extract(last, f"[{lx.TAIL_MARKS}]+$", 0))
+        kept = F.transform(p["words"], lambda w, j: note(w, w, nothing, False, p["at"] + j))
         notes = (
-            F.when(value.isNotNull(), F.array(note(F.array_join(words, " "), digits, value, False, p["at"])))
+            F.when(p["value"].isNotNull(), F.array(note(F.array_join(p["words"], " "), digits, p["value"], False, p["at"])))
             .when(p["cut"] == "i", F.array(note(last, last, nothing, True, p["at"])))
             .when(F.startswith(p["cut"], F.lit("n")), kept)
             .when(F.startswith(p["cut"], F.lit("F")), F.slice(kept, F.lit(2), F.size(kept)))
             .otherwise(F.lit([]).cast(f"array<{CONVERSION}>"))
         )
-        return F.struct(F.coalesce(digits, F.array_join(words, " ")).alias("text"), notes.alias("notes"))
+        return F.struct(F.coalesce(digits, F.array_join(p["words"], " ")).alias("text"), notes.alias("notes"))
 
-    parts = F.transform(placed, rewrite)
-    return F.when(sentence.isNotNull(), F.struct(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.flatten(F.transform(parts, lambda p: p["notes"])).alias("conversions")))
+    parts = F.transform(F.transform(placed, read), rewrite)
+    return let(parts, lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: p["text"]), " ").alias("text"), F.flatten(F.transform(ps, lambda p: p["notes"])).alias("conversions")))
 
 
 def real(conversions: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
 from lekhya.functions import text, wer
+from lekhya.functions.once import let, once
 from lekhya.operators import scoring
 
 #: Entries of a map that is sent to every task as a literal; a larger one is joined.
@@ -49,17 +50,19 @@ def would_change(hypothesis: Column, table: Column) -> Column:
     return (text.most_repeats(words) >= lx.REPAIR_REPEATS) | F.exists(words, lambda w: F.try_element_at(table, _core(w)).isNotNull())
 
 
+def _unlooped(hypothesis: Column) -> Column:
+    return F.when(text.most_repeats(text.tokens(hypothesis)) >= lx.REPAIR_REPEATS, text.collapse_repeats(hypothesis)).otherwise(hypothesis)
+
+
 def fix(hypothesis: Column, table: Column) -> Column:
     """Loops collapsed where some word occurs REPAIR_REPEATS times, then each word looked up less its final marks, which it keeps."""
-    looped = F.when(text.most_repeats(text.tokens(hypothesis)) >= lx.REPAIR_REPEATS, text.collapse_repeats(hypothesis)).otherwise(hypothesis)
-    mapped = lambda w: F.concat(F.coalesce(F.try_element_at(table, _core(w)), _core(w)), F.substring(w, F.length(_core(w)) + 1, F.length(w)))
-    return F.array_join(F.transform(text.tokens(looped), mapped), " ")
+    mapped = lambda w: let(_core(w), lambda c: F.concat(F.coalesce(F.try_element_at(table, c), c), F.substring(w, F.length(c) + 1, F.length(w))))
+    return F.array_join(F.transform(text.tokens(_unlooped(hypothesis)), mapped), " ")
 
 
 def fix_joined(rows: DataFrame, table: DataFrame, key: list[str], hypothesis: str = "hyp_norm") -> DataFrame:
     """rows with fixed, for maps of any size: words are exploded, joined to the map and put together again."""
-    looped = F.when(text.most_repeats(text.tokens(F.col(hypothesis))) >= lx.REPAIR_REPEATS, text.collapse_repeats(F.col(hypothesis))).otherwise(F.col(hypothesis))
-    words = rows.select(*key, F.posexplode(text.tokens(looped)).alias("_i", "_w")).withColumn("_c", _core(F.col("_w")))
+    words = rows.select(*key, F.posexplode(text.tokens(_unlooped(F.col(hypothesis)))).alias("_i", "_w")).withColumn("_c", _core(F.col("_w")))
     met = words.join(table.select(F.col("hyp").alias("_hyp"), F.col("ref").alias("_ref")), F.col("_c") == F.col("_hyp"), "left")
     done = met.withColumn("_o", F.concat(F.coalesce("_ref", "_c"), F.substring("_w", F.length("_c") + 1, F.length("_w"))))
     joined = done.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_o"))), lambda s: s["_o"]), " ").alias("fixed"))
@@ -70,9 +73,9 @@ def evaluate(pairs: DataFrame, table: Column, compose=text.nfc) -> DataFrame:
     """pairs with fixed, wer_before, wer_after and outcome."""
     scored = scoring.score(pairs, compose=compose)
     fixed = F.when(would_change(F.col("hyp_norm"), table), text.normalize_for_wer(fix(F.col("hyp_norm"), table), text.nfc_native)).otherwise(F.col("hyp_norm"))
-    scored = scored.withColumn("fixed", fixed).withColumnRenamed("wer", "wer_before")
+    scored = once(scored.withColumnRenamed("wer", "wer_before"), fixed=fixed)
     after = wer.wer(wer.word_edits(text.tokens(F.col("ref_norm")), text.tokens(F.col("fixed"))), F.col("ref_words"))
-    return scored.withColumn("wer_after", after).withColumn("outcome", wer.outcome(F.col("wer_before"), F.col("wer_after"), F.col("fixed") != F.col("hyp_norm")))
+    return once(scored, wer_after=after).withColumn("outcome", wer.outcome(F.col("wer_before"), F.col("wer_after"), F.col("fixed") != F.col("hyp_norm")))
 
 
 def summary(evaluated: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.functions import text, wer
+from lekhya.functions.once import once
 from lekhya.operators.order import number_rows
 
 BINS = (0.0, 0.3, 0.5, 1.0, 2.0, 5.0)
@@ -16,9 +17,9 @@ BINS = (0.0, 0.3, 0.5, 1.0, 2.0, 5.0)
 def score(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose=text.nfc, normalize: bool = True) -> DataFrame:
     """pairs with ref_norm, hyp_norm, ref_words, hyp_words, edits and wer."""
     form = (lambda c: text.normalize_for_wer(c, compose)) if normalize else (lambda c: c)
-    out = pairs.withColumns({"ref_norm": form(F.col(reference)), "hyp_norm": form(F.col(hypothesis))})
-    out = out.withColumns({"_r": text.tokens(F.col("ref_norm")), "_h": text.tokens(F.col("hyp_norm"))})
-    out = out.withColumns({"ref_words": F.size("_r"), "hyp_words": F.size("_h"), "edits": wer.word_edits(F.col("_r"), F.col("_h"))}).drop("_r", "_h")
+    out = once(pairs, ref_norm=form(F.col(reference)), hyp_norm=form(F.col(hypothesis)))
+    out = once(out, _r=text.tokens(F.col("ref_norm")), _h=text.tokens(F.col("hyp_norm")))
+    out = once(out, ref_words=F.size("_r"), hyp_words=F.size("_h"), edits=wer.word_edits(F.col("_r"), F.col("_h"))).drop("_r", "_h")
     return out.withColumn("wer", wer.wer(F.col("edits"), F.col("ref_words")))
 
 
