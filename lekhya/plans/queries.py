@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
@@ -81,11 +81,10 @@ def sample_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def label_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of turns: word lengths, padded to 64 with -1, masked and unmasked again."""
-    t = views.table(spark, sf_dir, "conversations")
-    ids = F.transform(F.slice(views.words(F.col("text")), 1, 64), lambda w: F.length(w))
-    padded = arrays.pad(ids, F.lit(64), -1)
-    masked = arrays.mask(padded, -1)
+    """Labels of turns: word lengths, padded to the longest turn of the conversation with -1, masked and unmasked again."""
+    t = views.table(spark, sf_dir, "conversations").select(*KEYS, F.transform(views.words(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    t = t.withColumn("most", F.max(F.size("ids")).over(Window.partitionBy("conv_id")))
+    masked = arrays.mask(arrays.pad(F.col("ids"), F.col("most"), -1), -1)
     show = lambda c: F.array_join(c.cast("array<string>"), ",")
     return t.select("conv_id", "turn", show(masked).alias("masked"), show(arrays.unmask(masked, -1)).alias("unmasked"))
 
@@ -113,7 +112,7 @@ def corpus_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def document_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Micro average over documents of up to 500 words, by source."""
+    """Micro average over whole documents, by source."""
     d = views.table(spark, sf_dir, "documents").select("doc_id", "source")
     s = scoring.score(views.docpair(spark, sf_dir).repartition("doc_id"), compose=text.nfc_native).join(d.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"))
     return scoring.corpus(s, ["source"]).select("source", "n", "edits", "ref_words", F.round("wer", 6).alias("wer"))
@@ -152,7 +151,7 @@ def repetition_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collapse_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hints, and turns whose third word is said six times over."""
     w = views.words(F.col("text"))
-    said = F.concat(F.slice(w, 1, 2), F.array_repeat(F.coalesce(F.get(w, F.lit(2)), F.lit("om")), 6), F.slice(w, 4, 20))
+    said = F.concat(F.slice(w, 1, 2), F.array_repeat(F.coalesce(F.get(w, F.lit(2)), F.lit("om")), 6), F.slice(w, 4, 1 << 30))
     turns = views.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("id"), F.array_join(said, " ").alias("text"))
     mine = views.hints(spark).select(F.col("id").cast("long").alias("id"), F.array_join(text.tokens(F.col("text")), " ").alias("text")).unionByName(turns)
     return mine.select("id", text.collapse_repeats(F.col("text")).alias("collapsed"))

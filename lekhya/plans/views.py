@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
+from lekhya.functions.once import once
 
 WORDS = r"[ \n\t\r]+"
 
@@ -25,8 +26,8 @@ def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("end", F.col("start") + F.col("duration"))
 
 
-def _pairs(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    ref = F.slice(words(F.col("text")), 1, most)
+def _pairs(rows: DataFrame, key: Column) -> DataFrame:
+    ref = words(F.col("text"))
 
     def heard(w: Column, i: Column) -> Column:
         return (
@@ -34,19 +35,19 @@ def _pairs(rows: DataFrame, key: Column, most: int) -> DataFrame:
             .when(i % (2 + key % 10) == 1, F.array(F.concat(w, F.lit("x")))).when(i % 13 == 6, F.array(w, F.lit("uh"))).otherwise(F.array(w))
         )
 
-    out = rows.withColumn("r", ref).withColumn("h", F.flatten(F.transform("r", heard)))
+    out = once(once(rows, r=ref), h=F.flatten(F.transform("r", heard)))
     return out.withColumns({"reference": F.array_join("r", " "), "hypothesis": F.array_join("h", " ")}).drop("r", "h", "text")
 
 
-def pair(spark: SparkSession, sf_dir: str, most: int = 60) -> DataFrame:
+def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, role, reference, hypothesis): turns and a misheard copy of known errors."""
     c = table(spark, sf_dir, "conversations")
-    return _pairs(c.select("conv_id", "turn", "role", "text"), F.col("conv_id"), most)
+    return _pairs(c.select("conv_id", "turn", "role", "text"), F.col("conv_id"))
 
 
-def docpair(spark: SparkSession, sf_dir: str, most: int = 500) -> DataFrame:
+def docpair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, reference, hypothesis) of documents."""
-    return _pairs(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id"), most)
+    return _pairs(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
