@@ -107,3 +107,19 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(got) == odd_docs.count()
     assert {r.doc_id for r in got if r.removed} >= {100, 101, 102}
     assert D.dedup(no_docs).count() == 0
+
+
+def all_shingles(x, n=10):
+    """Shingles cut without the module's pattern."""
+    return {x[i : i + n] for i in range(max(1, len(x) - n + 1))}
+
+
+def test_lines_that_differ_past_a_prefix_stay(spark):
+    pairs = [("2024-01-01t09:30", "2024-01-01t17:45"), ("4111111111111111", "4111111111999999"), ("x" * 20 + "abcdef", "x" * 20 + "ghijkl"), ("internationalization constitutionally", "constitutionally internationalization")]
+    lines = [x for pair in pairs for x in pair]
+    got = D.dedup(spark.createDataFrame([(i, x, None, None, None) for i, x in enumerate(lines)], SCHEMA)).collect()
+    assert all(len(all_shingles(a) & all_shingles(b)) < 0.8 * len(all_shingles(a) | all_shingles(b)) for a, b in pairs)
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(lines))
+    odd = ["", "ab", "0123456789", "0123456789a", "aé 語" * 9, "a\u2028", "😀" * 12 + "b"]
+    rows = spark.createDataFrame([(x,) for x in odd], "line string").select("line", D.shingles("line").alias("s")).collect()
+    assert all(set(r.s) == (all_shingles(r.line) if r.line else set()) for r in rows)
