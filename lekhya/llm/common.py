@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Masks that reorder 64-bit ids, one per contraction round.
@@ -85,3 +87,68 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels
+
+
+#: Nodes of a bucket that is compared in full at once; nodes of one side of a block of pairs; rounds that thin fuller buckets.
+FULL, BLOCK, THINNINGS = 16, 1024, 3
+
+
+def differ_little(a: str, b: str, similarity: float, lanes: int) -> Column:
+    """Whether sets of sizes m and parity bits s0, s1, ... can have Jaccard similarity of at least similarity: no pair that has it is refused.
+
+    An element in one of the sets alone flips one parity bit, so sets differ in no fewer elements than bits.
+    """
+    bits = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(lanes)])
+    m, n = F.col(f"{a}.m"), F.col(f"{b}.m")
+    return (F.least(m, n) >= similarity * F.greatest(m, n) - 1e-6) & (bits <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def bucket_links(members: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], full: int = FULL, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: verified edges that join what all similar pairs of nodes sharing a bucket join.
+
+    members holds (key, node) once each and the columns of which near(x, y) makes a first test;
+    verify keeps the similar pairs of a table (a, b), and writes them. Buckets of up to full
+    nodes are compared in full. In a fuller one all nodes are compared with its least node,
+    under an order of the key's own; those not joined to it go to a bucket of their own, and
+    so on for THINNINGS rounds. Nodes joined by then need no comparison among themselves. Every
+    other pair with a node outside the least one's component is compared, in blocks of pairs
+    that tasks share; only pairs that pass near become rows.
+    """
+    turn = F.xxhash64("key")
+    stats = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("hub"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
+    sized = keep(members.join(stats, F.col("key") == F.col("k")).drop("k"), "members")
+    ordered = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    big = sized.where(F.col("n") > full)
+    left, found = sized, []
+    for i in range(THINNINGS):
+        small, large = left.where(F.col("n") <= full), left.where(F.col("n") > full)
+        pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near("x", "y")).select(*ordered)
+        hubs = large.where("node = hub")
+        stars = large.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near("x", "y")).select(*ordered)
+        found.append(verify(keep(pairs.union(stars).distinct(), "pairs")))
+        edges = reduce(DataFrame.union, found)
+        if large.isEmpty():
+            return edges
+        rooted = keep(_rooted(large, edges), "rooted")
+        rest = rooted.where("root <> home").drop("root", "home", "n", "hub").withColumn("key", F.xxhash64("key", F.lit(i)))
+        turned = rest.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("hub"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
+        left = keep(rest.join(turned, F.col("key") == F.col("k")).drop("k"), "rest")
+    rooted = keep(_rooted(big, edges), "rooted")
+    apart = rooted.where("root <> home").groupBy("key").agg(F.ceil(F.count("*") / block).alias("cuts")).withColumnRenamed("key", "k")
+    mixed = keep(rooted.join(apart, F.col("key") == F.col("k")).drop("k").withColumn("pieces", F.ceil(F.col("n") / block)), "mixed")
+    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = mixed.where("root <> home").withColumn("u", place(1, "cuts")).withColumn("v", each("pieces"))
+    every = mixed.withColumn("v", place(2, "pieces")).withColumn("u", each("cuts"))
+    same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "u", "v")])
+    once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
+    pairs = own.alias("x").join(every.hint("shuffle_hash").alias("y"), same & once & (F.col("x.root") != F.col("y.root")) & near("x", "y")).select(*ordered)
+    return edges.union(verify(keep(pairs.distinct(), "pairs")))
+
+
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with the component of each node, and as home that of its bucket's hub."""
+    roots = connected_components(edges).withColumnsRenamed({"node": "_node", "root": "_root"})
+    own = members.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
+    homes = own.where("node = hub").select(F.col("key").alias("_key"), F.col("root").alias("home"))
+    return own.join(homes, F.col("key") == F.col("_key")).drop("_key")

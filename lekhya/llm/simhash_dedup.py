@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.llm import textbytes as tb
-from lekhya.llm.common import connected_components, keep
+from lekhya.llm.common import bucket_links, connected_components, differ_little, keep
 
 #: Reference fingerprints: rows of the 64 x 64 Walsh matrix, pairwise 32 bits apart, so their tables are uncorrelated.
 PIVOTS = [sum(((i & j).bit_count() & 1) << j for j in range(64)) for i in (21, 42, 7, 56, 35, 14, 28, 49, 11, 22, 44, 25, 50, 37, 19, 63)]
+#: Longs of parity bits of a text's shingles.
+LANES = 16
 #: Fingerprints that share a block pair are compared with each other up to this many; beyond it they are linked through one-bit neighbours.
 FULL_BUCKET = 64
 
@@ -118,7 +120,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 
 
 def _similarity_keys(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    """(id, fp, keys, sh): SimHash, band keys and the sorted distinct shingle hashes of each text."""
+    """(id, fp, keys, sh, bits): SimHash, band keys, the sorted distinct shingle hashes of each text, and their parity bits."""
     mult = np.random.default_rng(17).integers(0, 1 << 63, rows * bands, np.uint64) * tb.U(2) + tb.U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +139,16 @@ def _similarity_keys(docs: DataFrame, shingle: int, rows: int, bands: int) -> Da
                         for m in mult[band * rows : (band + 1) * rows]:
                             least = np.minimum.reduceat(tb.mix(h * m), at[:-1][full])
                             keys[full, band] = tb.mix(keys[full, band] * tb.U(31) + least + tb.U(band))
-                sets = [np.unique(h[at[r] : at[r + 1]]).tobytes() for r in range(j - i)]
+                own_sets = [np.unique(h[at[r] : at[r + 1]]) for r in range(j - i)]
+                sets = [x.tobytes() for x in own_sets]
+                bits = [np.packbits(np.bincount((x >> tb.U(20)).astype(np.int64) & (64 * LANES - 1), minlength=64 * LANES).astype(np.uint8) & 1).view(np.int64) for x in own_sets]
+                bits_col = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * LANES, LANES), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 keys_col = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), keys_col, pa.array(sets, pa.binary())], names=["id", "fp", "keys", "sh"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), keys_col, pa.array(sets, pa.binary()), bits_col], names=["id", "fp", "keys", "sh", "bits"])
         tb.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, fp long, keys array<long>, sh binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, fp long, keys array<long>, sh binary, bits array<long>")
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22, rows: int = 2, bands: int = 8) -> DataFrame:
@@ -151,25 +156,23 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
 
     For a similarity far below what 2 bits cover: at 0.8 two SimHashes differ in 10 of 64 bits on
     average, so equal blocks cannot find such pairs. Candidates share a band of shingle minima
-    (rows=2, bands=8 find 99.97 % of pairs at 0.8) and meet the band's least member; pivot
-    tables and Hamming distance discard those beyond radius (22 bits lie over four standard
-    deviations above the mean at 0.8), and the exact Jaccard similarity of the whole shingle
-    sets verifies the others. Equal shingle sets are linked first and compared once, so a group
+    (rows=2, bands=8: 99.97 % of pairs at 0.8 do); bucket_links compares all pairs of a band's
+    bucket that are not yet joined, however full it is. Pivot tables and Hamming distance
+    discard those beyond radius (22 bits lie over four standard deviations above the mean at
+    0.8), parity bits those that cannot be similar, and the exact Jaccard similarity of the
+    whole shingle sets verifies the others. Equal shingle sets are linked first and compared once, so a group
     of copies of any size is one candidate. Blank and null texts are equal to each other.
     """
     keys = keep(_similarity_keys(docs, shingle, rows, bands), "keys")
     same = keys.withColumn("s1", F.xxhash64("sh")).groupBy("s1", "fp").agg(F.min("id").alias("least"))
     sets = keys.withColumn("s1", F.xxhash64("sh"))
-    reps = keep(sets.join(same.withColumnsRenamed({"s1": "z1", "fp": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("fp") == F.col("z2"))).select("id", "least", "fp", "keys", "sh"), "reps")
-    own = with_pivots(reps.where("id = least").dropDuplicates(["id"]).select("id", "fp", "keys"))
-    keyed = own.select("id", "fp", "t0", "t1", F.posexplode("keys").alias("band", "key"))
-    mask = F.array(*[F.lit(_signed((i * 0x9E3779B97F4A7C15 + 0x1234567) & (1 << 64) - 1)) for i in range(bands)])
-    turned = F.get(mask, F.col("band"))
-    best = keyed.groupBy("band", "key").agg(F.min("id").alias("least"), F.min(F.xxhash64("id", turned)).alias("other"), F.count("*").alias("n")).where("n > 1")
-    members = keep(keyed.join(best.withColumnsRenamed({"band": "q", "key": "k"}), (F.col("band") == F.col("q")) & (F.col("key") == F.col("k"))).select("id", "fp", "t0", "t1", "band", "key", "least", (F.xxhash64("id", turned) == F.col("other")).alias("chosen")), "members")
-    chosen = members.where("chosen or id = least").select("id", "fp", "t0", "t1", F.col("band").alias("q"), F.col("key").alias("k"))
-    near = members.alias("x").join(chosen.alias("y"), (F.col("x.band") == F.col("y.q")) & (F.col("x.key") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & within("x", "y", radius))
-    pairs = keep(near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
+    reps = keep(sets.join(same.withColumnsRenamed({"s1": "z1", "fp": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("fp") == F.col("z2"))).select("id", "least", "fp", "keys", "sh", "bits"), "reps")
+    own = with_pivots(reps.where("id = least").dropDuplicates(["id"]).select("id", "fp", "keys", (F.octet_length("sh") / 8).alias("m"), *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(LANES)]))
+    payload = ["fp", "t0", "t1", "m", *[f"s{i}" for i in range(LANES)]]
+    keyed = own.select("id", F.posexplode("keys").alias("band", "key")).select(F.col("id").alias("node"), F.xxhash64("band", "key").alias("key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
+    shared = keyed.join(met, F.col("key") == F.col("k")).select("key", "node")
+    members = shared.join(own.select("id", *payload), F.col("node") == F.col("id")).select("key", "node", *payload)
     shs = reps.where("id = least").dropDuplicates(["id"]).select("id", "sh")
     left, right = shs.withColumnsRenamed({"id": "a", "sh": "sa"}), shs.withColumnsRenamed({"id": "b", "sh": "sb"})
 
@@ -182,8 +185,11 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
                 ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    linked = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
-    roots = connected_components(keep(linked, "linked"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), "linked")
+
+    linked = bucket_links(members, lambda x, y: within(x, y, radius) & differ_little(x, y, similarity, LANES), similar)
+    roots = connected_components(linked)
     named = roots.select("root", F.col("node").alias("id")).groupBy("root").agg(F.min("id").alias("component"))
     roots = roots.join(named, "root").select("node", "component")
     return reps.select("id", "least").join(roots, F.col("least") == F.col("node"), "left").select("id", F.coalesce("component", "least").alias("component"))

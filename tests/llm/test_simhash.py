@@ -90,6 +90,20 @@ def test_similar_components_against_all_pairs(spark):
     assert all(want[i] == want[got[i]] for i in got)  # nothing is linked that is not similar
 
 
+def test_near_copies_in_full_mixed_buckets_meet(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 134).split()
+    texts = []
+    for _ in range(150):  # 0.5 to 0.6 to one another for the shared passage; each with a copy at over 0.8
+        w = passage + prose(rng, 45).split()
+        texts += [" ".join(w), " ".join(w[:150] + prose(rng, 3).split() + w[153:])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.id: r.component for r in S.similar_components(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) == 150 and sum(got[i] == want[i] for i in got) >= len(got) - 1
+
+
 def test_empty(no_docs):
     assert S.near_duplicates(no_docs).count() == 0
     assert S.similar_components(no_docs).where(F.col("id") > 0).count() == 0
