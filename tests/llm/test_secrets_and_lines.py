@@ -123,3 +123,19 @@ def test_lines_that_differ_past_a_prefix_stay(spark):
     odd = ["", "ab", "0123456789", "0123456789a", "aé 語" * 9, "a\u2028", "😀" * 12 + "b"]
     rows = spark.createDataFrame([(x,) for x in odd], "line string").select("line", D.shingles("line").alias("s")).collect()
     assert all(set(r.s) == (all_shingles(r.line) if r.line else set()) for r in rows)
+
+
+def test_near_copies_among_templated_lines_meet(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 40)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(200):  # about 0.65 to one another for the shared passage; each with a copy at over 0.8
+        own = letters(len(passage) // 4)
+        lines += [f"{passage} {own}", f"{passage} {own[:-4]}{letters(4)}"]
+    sets = [all_shingles(x) for x in lines]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(near(i, i + 1) for i in range(0, 400, 2)) and not any(near(0, i) for i in range(2, 400))
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in enumerate(lines)], SCHEMA)
+    got = D.dedup(docs, rows_per_band=1).collect()  # one minimum a band, so that buckets are as full as those of a large corpus
+    assert sum(list(r.removed) == [0] * (r.doc_id % 2) for r in got) >= 399
