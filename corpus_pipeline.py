@@ -15,8 +15,6 @@ from lekhya.llm import decontaminate, line_dedup, mixing, quality, simhash_dedup
 from lekhya.llm.common import keep, shared_dir
 
 ORACLE_SQL = None
-#: A document that keeps less than this share of its characters after line removal is a copy of what others hold, and goes.
-KEPT_SHARE = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that near-duplicate an earlier line; those that lose nearly all of their text go."""
-    marked = docs.select("*", F.length("text").alias("_before"))
-    out = line_dedup.dedup(marked)
-    out = out.where((F.size("removed") == 0) | (F.length(F.btrim("text", F.lit(" \n\t\r"))) > KEPT_SHARE * F.col("_before")))
+    """Documents without the lines that near-duplicate an earlier line; those left with no line that is not blank go."""
+    out = line_dedup.dedup(docs)
+    out = out.where((F.size("removed") == 0) | (F.btrim("text", F.lit(" \n\t\r")) != ""))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

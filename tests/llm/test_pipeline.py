@@ -36,3 +36,11 @@ def test_copies_leave_one_document(spark, tmp_path):
     kept = {r.doc_id for r in P.run(spark, path).collect()}
     assert not any(i >= 10_000 for i in kept) and good[50][0] not in kept
     assert len(kept & {r[0] for r in good}) >= 0.5 * len(good)
+
+
+def test_a_short_document_beside_a_repeated_passage_keeps_its_own_lines(spark):
+    passage = " ".join(f"license{i}" for i in range(60))
+    own = [" ".join(f"own{d}word{i}" for i in range(20)) for d in range(3)]
+    rows = [(d, f"{passage}\n{x}", "en", "s", 0) for d, x in enumerate(own)] + [(9, f"{passage}\n ", "en", "s", 0)]
+    out = P.deduplicate_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {0: (rows[0][1], len(rows[0][1])), 1: (own[1], len(own[1])), 2: (own[2], len(own[2]))}
