@@ -139,3 +139,14 @@ def test_near_copies_among_templated_lines_meet(spark):
     docs = spark.createDataFrame([(i, x, None, None, None) for i, x in enumerate(lines)], SCHEMA)
     got = D.dedup(docs, rows_per_band=1).collect()  # one minimum a band, so that buckets are as full as those of a large corpus
     assert sum(list(r.removed) == [0] * (r.doc_id % 2) for r in got) >= 399
+
+
+def test_short_lines_share_bands_as_often_as_long_ones(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for n in (13, 17):  # n - 9 shingles, and as many and a quarter
+        firsts = [letters(n) for _ in range(3000)]
+        lines = firsts + [x + letters((n - 9) // 4) for x in firsts]
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string").selectExpr("id", "line", "xxhash64(line) as lh")
+        keys = {r.least: set(r["keys"]) for r in D.signatures(rows).collect()}
+        assert sum(not keys[i] & keys[3000 + i] for i in range(3000)) <= 24  # independent orders miss nine on average
