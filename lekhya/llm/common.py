@@ -2,45 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks that reorder 64-bit ids, one per contraction round.
-_GOLDEN = 0x9E3779B97F4A7C15
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is configured."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="lekhya-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+from lekhya.stored import discard, shared_dir
+from lekhya.stored import stored as keep
 
+__all__ = ["attach", "bucket_links", "connected_components", "differ_little", "discard", "keep", "mask64", "row_hash", "shared_dir"]
 
-def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lekhya/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._lekhya_path = path  # type: ignore[attr-defined]
-    return kept
+#: A table of so many keys, some 16 bytes each, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: A key of more rows than this is hot: its facts are broadcast, so that its rows stay where they are.
+HOT = 512
 
-
-def discard(*tables: DataFrame) -> None:
-    """Delete kept tables of which nothing that is still to run makes use."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._lekhya_path)  # type: ignore[attr-defined,union-attr]
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # type: ignore[attr-defined]
+#: So few edges are joined plainly: one task could hold them all.
+FEW_EDGES = 100_000
+#: Contraction rounds at most; edges fall geometrically, so twenty serve any table.
+ROUNDS = 200
+#: Masks that reorder 64-bit ids, one per contraction round.
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def mask64(i: int) -> int:
@@ -52,24 +35,50 @@ def mask64(i: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def row_hash(text: Column) -> Column:
+    """64 bits of a text: with the doc_id it tells rows apart whose ids are null or repeated; rows equal in both are one."""
+    return F.xxhash64(text.cast("string"))
+
+
+def attach(rows: DataFrame, facts: DataFrame, on: dict[str, str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with facts, one row for each key, of which n counts the key's rows; on names the key's columns in rows and facts.
+
+    Keys of over HOT rows are few, at most one in HOT rows; up to BROADCAST_KEYS of them are
+    broadcast, so no task meets all rows of a hot key. The others, and hot keys beyond that
+    number, are joined by a shuffle.
+    """
+    same = reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in on.items()])
+    facts = keep(facts, "facts")
+    hot = facts.where(F.col(n) > HOT)
+    if not 0 < hot.count() <= BROADCAST_KEYS:
+        return rows.join(facts, same, how)
+    keys = F.broadcast(hot.select(*on.values()))
+    return rows.join(F.broadcast(hot), same).unionByName(rows.join(keys, same, "left_anti").join(facts.where(F.col(n) <= HOT), same, how))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge table of longs.
 
     Contraction: each round sends a node to the least node within two hops (under a
     round-specific order, so chains shrink geometrically), jumps once more, relabels and
     deduplicates the edges, and stops when none is left. Minima are partially aggregated
-    before each shuffle, so a star with any number of leaves is no hot group. root is a
-    node of the component; self-loops and nulls are dropped. No edge or label reaches the driver.
+    before each shuffle, and those of nodes with many edges are broadcast (attach), so a star
+    with any number of leaves is no hot group. root is a node of the component; self-loops and
+    nulls are dropped. No edge or label reaches the driver.
     """
     e = keep(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
     labels = None
-    for i in range(200):
-        if e.isEmpty():
+    for i in range(ROUNDS):
+        size = e.count()
+        if not size:
             break
+        if i == ROUNDS - 1:
+            raise RuntimeError(f"components are not done after {ROUNDS} rounds")
         m = F.lit(mask64(i))
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
-        near = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(m)).alias("x")).select(F.col("a").alias("n"), F.least("x", F.col("a").bitwiseXOR(m)).alias("x"))
-        far = both.join(near, F.col("b") == F.col("n")).groupBy("a").agg(F.min("x").alias("x")).select("a", F.least("x", F.col("a").bitwiseXOR(m)).bitwiseXOR(m).alias("p"))
+        near = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(m)).alias("x"), F.count("*").alias("d")).select(F.col("a").alias("n"), F.least("x", F.col("a").bitwiseXOR(m)).alias("x"), "d")
+        met = attach(both, near, {"b": "n"}, "d") if size > FEW_EDGES else both.join(near, F.col("b") == F.col("n"))
+        far = met.groupBy("a").agg(F.min("x").alias("x")).select("a", F.least("x", F.col("a").bitwiseXOR(m)).bitwiseXOR(m).alias("p"))
         old, far = e, keep(far, "parents")
         up = far.select(F.col("a").alias("u"), F.col("p").alias("g"))
         jumped = keep(far.join(up, F.col("p") == F.col("u"), "left").select("a", F.coalesce("g", "p").alias("p")), "jumped")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.llm import textbytes as tb
-from lekhya.llm.common import bucket_links, connected_components, differ_little, keep
+from lekhya.llm.common import attach, bucket_links, connected_components, differ_little, discard, keep, row_hash
 
 #: Reference fingerprints: rows of the 64 x 64 Walsh matrix, pairwise 32 bits apart, so their tables are uncorrelated.
 PIVOTS = [sum(((i & j).bit_count() & 1) << j for j in range(64)) for i in (21, 42, 7, 56, 35, 14, 28, 49, 11, 22, 44, 25, 50, 37, 19, 63)]
@@ -110,17 +110,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     Other columns, whatever their names, are not read. An empty table gives no row.
     """
     fps = keep(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     roots = connected_components(links(distinct.select("fp"), radius))
-    own = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     own = keep(own, "own")
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.select("fp", "root").join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return fps.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = own.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    named = attach(own, least, {"root": "r"}, "c").select(F.col("fp").alias("f"), "component_id", "n")
+    out = attach(fps, named, {"fp": "f"})
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _similarity_keys(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
-    """(id, fp, keys, sh, bits): SimHash, band keys, the sorted distinct shingle hashes of each text, and their parity bits."""
+    """(id, row, fp, keys, sh, bits): the row's key, SimHash, band keys, the sorted distinct shingle hashes of each text, and their parity bits."""
     mult = np.random.default_rng(17).integers(0, 1 << 63, rows * bands, np.uint64) * tb.U(2) + tb.U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +146,15 @@ def _similarity_keys(docs: DataFrame, shingle: int, rows: int, bands: int) -> Da
                 bits_col = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * LANES, LANES), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 keys_col = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), keys_col, pa.array(sets, pa.binary()), bits_col], names=["id", "fp", "keys", "sh", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(fp.view(np.int64)), keys_col, pa.array(sets, pa.binary()), bits_col], names=["id", "row", "fp", "keys", "sh", "bits"])
         tb.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, fp long, keys array<long>, sh binary, bits array<long>")
+    given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), row_hash(F.col("text")).alias("row"))
+    return given.mapInArrow(run, "id long, row long, fp long, keys array<long>, sh binary, bits array<long>")
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 22, rows: int = 2, bands: int = 8) -> DataFrame:
-    """(id, component) of documents joined by Jaccard similarity of word shingles of at least similarity.
+    """(id, row, component, first) of each row of docs, joined by Jaccard similarity of word shingles of at least similarity.
 
     For a similarity far below what 2 bits cover: at 0.8 two SimHashes differ in 10 of 64 bits on
     average, so equal blocks cannot find such pairs. Candidates share a band of shingle minima
@@ -160,21 +162,28 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     bucket that are not yet joined, however full it is. Pivot tables and Hamming distance
     discard those beyond radius (22 bits lie over four standard deviations above the mean at
     0.8), parity bits those that cannot be similar, and the exact Jaccard similarity of the
-    whole shingle sets verifies the others. Equal shingle sets are linked first and compared once, so a group
-    of copies of any size is one candidate. Blank and null texts are equal to each other.
+    whole shingle sets verifies the others. Equal shingle sets are one node and compared once,
+    so a group of copies of any size is one candidate. Blank and null texts are equal to each
+    other. row is a hash of the text, which with id names a row where ids are null or repeated.
+    component is the least id of the group, null if it has none; first marks the group's row of
+    the least id (null counts as the largest) and, of equal ids, of the least hash; rows equal
+    in id and text are marked alike. An empty table gives no row; other columns are not read.
     """
-    keys = keep(_similarity_keys(docs, shingle, rows, bands), "keys")
-    same = keys.withColumn("s1", F.xxhash64("sh")).groupBy("s1", "fp").agg(F.min("id").alias("least"))
-    sets = keys.withColumn("s1", F.xxhash64("sh"))
-    reps = keep(sets.join(same.withColumnsRenamed({"s1": "z1", "fp": "z2"}), (F.col("s1") == F.col("z1")) & (F.col("fp") == F.col("z2"))).select("id", "least", "fp", "keys", "sh", "bits"), "reps")
-    own = with_pivots(reps.where("id = least").dropDuplicates(["id"]).select("id", "fp", "keys", (F.octet_length("sh") / 8).alias("m"), *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(LANES)]))
+    node = F.xxhash64("sh", "fp")
+    keys = keep(_similarity_keys(docs, shingle, rows, bands).withColumns({"node": node, "nth": F.monotonically_increasing_id()}), "keys")
+    place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col("row").alias("row"), F.col("nth").alias("nth"))
+    leads = keep(keys.groupBy("node").agg(F.min(place).alias("lead"), F.count("*").alias("n")), "leads")
+    told = leads.select(F.col("node").alias("k"), "lead", "n")
+    reps = attach(keys, told, {"node": "k"}).where(F.col("nth") == F.col("lead.nth"))
+    reps = keep(reps.select("node", "fp", "keys", "sh", "bits"), "reps")
+    own = with_pivots(reps.select("node", "fp", "keys", (F.octet_length("sh") / 8).alias("m"), *[F.get("bits", F.lit(i)).alias(f"s{i}") for i in range(LANES)]))
     payload = ["fp", "t0", "t1", "m", *[f"s{i}" for i in range(LANES)]]
-    keyed = own.select("id", F.posexplode("keys").alias("band", "key")).select(F.col("id").alias("node"), F.xxhash64("band", "key").alias("key"))
+    keyed = own.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
     shared = keyed.join(met, F.col("key") == F.col("k")).select("key", "node")
-    members = shared.join(own.select("id", *payload), F.col("node") == F.col("id")).select("key", "node", *payload)
-    shs = reps.where("id = least").dropDuplicates(["id"]).select("id", "sh")
-    left, right = shs.withColumnsRenamed({"id": "a", "sh": "sa"}), shs.withColumnsRenamed({"id": "b", "sh": "sb"})
+    members = shared.join(own.select(F.col("node").alias("o"), *payload), F.col("node") == F.col("o")).select("key", "node", *payload)
+    shs = reps.select("node", "sh")
+    left, right = shs.withColumnsRenamed({"node": "a", "sh": "sa"}), shs.withColumnsRenamed({"node": "b", "sh": "sb"})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +198,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
         return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), "linked")
 
     linked = bucket_links(members, lambda x, y: within(x, y, radius) & differ_little(x, y, similarity, LANES), similar)
-    roots = connected_components(linked)
-    named = roots.select("root", F.col("node").alias("id")).groupBy("root").agg(F.min("id").alias("component"))
-    roots = roots.join(named, "root").select("node", "component")
-    return reps.select("id", "least").join(roots, F.col("least") == F.col("node"), "left").select("id", F.coalesce("component", "least").alias("component"))
+    roots = connected_components(linked).select(F.col("node").alias("k"), "root")
+    nodes = keep(leads.join(roots, F.col("node") == F.col("k"), "left").select("node", "lead", "n", F.coalesce("root", "node").alias("root")), "nodes")
+    groups = nodes.groupBy(F.col("root").alias("r")).agg(F.min("lead").alias("least"), F.count("*").alias("c"))
+    named = attach(nodes.select("node", "root", "n"), groups, {"root": "r"}, "c").select(F.col("node").alias("k"), "n", "least")
+    ids = keep(keys.select("id", "row", "node"), "ids")
+    out = attach(ids, named, {"node": "k"})
+    discard(keys, leads, reps, nodes)
+    first = (F.coalesce("id", F.lit((1 << 63) - 1)) == F.col("least.id")) & (F.col("row") == F.col("least.row"))
+    return out.select("id", "row", F.nullif(F.col("least.id"), F.lit((1 << 63) - 1)).alias("component"), first.alias("first"))

@@ -150,3 +150,19 @@ def test_short_lines_share_bands_as_often_as_long_ones(spark):
         rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string").selectExpr("id", "line", "xxhash64(line) as lh")
         keys = {r.least: set(r["keys"]) for r in D.signatures(rows).collect()}
         assert sum(not keys[i] & keys[3000 + i] for i in range(3000)) <= 24  # independent orders miss nine on average
+
+
+def test_rows_of_no_id_or_one_id_keep_their_own_lines(spark):
+    """Rows are told apart by id and text: a line goes only where an earlier row, or an earlier place, has it."""
+    unique = "a unique opening line on astronomy"
+    rows = [(None, "common footer\nown text of the first"), (None, f"{unique}\nown text of the first"), (2, "common footer\nsecond own text"), (2, "another beginning here\nsecond own text"), (2, "another beginning here\nsecond own text"), (1, "common footer")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as id", "1 as row", "2 as `removed`", "3 as _id", "4 as gone")
+    got = sorted((r.doc_id or 0, r.text, r.n_lines, list(r.removed)) for r in D.dedup(df.repartition(3)).collect())
+    assert len(got) == len(rows) and [r for r in got if r[0] == 1] == [(1, "common footer", 1, [])]
+    nulls = [r[1] for r in got if r[0] == 0]
+    assert sum("own text of the first" in t for t in nulls) == 1 and sum(unique in t for t in nulls) == 1 and not any("common footer" in t for t in nulls)
+    twos = [r[1] for r in got if r[0] == 2]
+    assert not any("common footer" in t for t in twos) and sum("another beginning here" in t for t in twos) == 2  # both of the repeated row
+    assert sum("second own text" in t for t in twos) in (1, 2)
+    again = sorted((r.doc_id or 0, r.text, r.n_lines, list(r.removed)) for r in D.dedup(df.repartition(5)).collect())
+    assert again == got

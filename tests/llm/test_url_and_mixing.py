@@ -67,3 +67,28 @@ def test_mix_is_exact_and_stable(spark, odd_docs, no_docs):
 
 def test_mix_with_clashing_names(odd_docs):
     assert mixing.mix(odd_docs).count() == odd_docs.count()
+
+
+def test_cut_among_repeated_rows(spark):
+    """Rows equal in id and size share what the cut leaves them, and none multiplies."""
+    rows = [(i, "a b c d", None, "s", 1) for i in range(20)] + [(99, "a b c d e", None, "s", 1)] * 7
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == 27 and abs(sum(r.taken for r in got) - got[0].target) < 7 + 0.51
+    assert len({r.taken for r in got if r.doc_id == 99}) == 1
+
+
+def test_many_ranges_agree_with_one_sort(spark, monkeypatch):
+    import hashlib
+
+    rows = [(i, "w " * (i % 7), None, "AB"[i % 3 == 0], 1) for i in range(3000)]
+    for per in (4, 256, 10**9):
+        monkeypatch.setattr(mixing, "PER_RANGE", per)
+        got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+        for s in "AB":
+            own = sorted((i for i, *_, in rows if "AB"[i % 3 == 0] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+            size, target = sum(i % 7 for i in own), got[own[0]].target
+            left = math.floor(target - target // size * size + 0.5)
+            for i in own:
+                once = min(max(left, 0), i % 7)
+                assert got[i].taken == target // size * (i % 7) + once, (per, i)
+                left -= i % 7
