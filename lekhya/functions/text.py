@@ -110,6 +110,12 @@ def most_repeats(words: Column) -> Column:
     return F.coalesce(let(words, lambda ws: F.array_max(F.transform(F.array_distinct(ws), lambda w: F.size(F.filter(ws, lambda x: x == w))))), F.lit(0))
 
 
+def repeats(words: Column, least: int) -> Column:
+    """Whether some word occurs `least` times: equal words of a sorted array stand together."""
+    far = lambda s: F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - least + 1, F.lit(0))), F.slice(s, least, F.greatest(F.size(s) - least + 1, F.lit(0))), lambda a, b: a == b)
+    return F.coalesce(let(F.array_sort(words), lambda s: F.exists(far(s), lambda x: x)), F.lit(False))
+
+
 def most_frequent(words: Column) -> Column:
     """(word, n) of the most frequent word, the first seen of equals; null of none."""
 

@@ -13,20 +13,31 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from lekhya.functions.once import let
 
-#: Words are written as characters U+0100.. for the edit distance; more distinct ones than this in a pair would reach the surrogates.
-MOST_DISTINCT = 55_040
+#: Widest bands of the distance table that are tried before the whole table.
+BANDS = (64, 512, 4096)
 ERROR = "struct<type:string,ref:string,hyp:string,ref_pos:int,hyp_pos:int>"
 _FIELDS = StructType().add("type", StringType()).add("ref", StringType()).add("hyp", StringType()).add("ref_pos", IntegerType()).add("hyp_pos", IntegerType())
 
 
+def letter(i: Column) -> Column:
+    """A character of its own for each number from 0 on, surrogates left out; there are 1.1 million."""
+    code = i + 0x100
+    return F.decode(F.unhex(F.lpad(F.hex(code + F.when(code >= 0xD800, 0x800).otherwise(0)), 8, "0")), "UTF-32")
+
+
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Least number of word edits between two arrays of words, in the JVM: each distinct word becomes a character, Levenshtein does the rest."""
-    letter = lambda known: lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(255) + F.array_position(known, w)), 4, "0")), "UTF-16BE")
+    """Least number of word edits between two arrays of words, in the JVM: each distinct word becomes a character, Levenshtein does the rest.
+
+    The distance is looked for in ever wider bands about the diagonal: texts of few edits cost
+    their length times the band, not its square.
+    """
 
     def counted(p: Column) -> Column:
-        spell = lambda words: F.array_join(F.transform(words, letter(p["known"])), "")
-        many = F.when(F.size(p["known"]) > MOST_DISTINCT, F.raise_error(F.lit("too many distinct words in a pair")).cast("int"))
-        return F.coalesce(many, F.levenshtein(spell(p["ref"]), spell(p["hyp"])))
+        spell = lambda words: F.array_join(F.transform(words, lambda w: letter(F.array_position(p["known"], w) - 1)), "")
+        return let(F.struct(spell(p["ref"]).alias("r"), spell(p["hyp"]).alias("h")), distance)
+
+    def distance(s: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.levenshtein(s["r"], s["h"], band), F.lit(-1)) for band in BANDS], F.levenshtein(s["r"], s["h"]))
 
     pair = F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("known"))
     return F.when(ref == hyp, F.lit(0)).otherwise(let(pair, counted))

@@ -49,7 +49,7 @@ def error_kind(e: Column, casual: Sequence[str] = lx.CASUAL_MARKERS, function_wo
 def category(reference: Column, hypothesis: Column, errors: Column, **lists: Sequence[str]) -> Column:
     """A loop, else a number in the reference, else the kind of the first error that suggests one, else other."""
     told = F.filter(F.transform(errors, lambda e: error_kind(e, **lists)), lambda k: k.isNotNull())
-    return F.when(text.most_repeats(text.tokens(hypothesis)) >= lx.CLASSIFY_REPEATS, "repetition_loop").when(text.has_digit(reference), "number_quantifier").otherwise(F.coalesce(F.get(told, F.lit(0)), F.lit("other")))
+    return F.when(text.repeats(text.tokens(hypothesis), lx.CLASSIFY_REPEATS), "repetition_loop").when(text.has_digit(reference), "number_quantifier").otherwise(F.coalesce(F.get(told, F.lit(0)), F.lit("other")))
 
 
 def reason(hypothesis: Column, errors: Column, kind: Column) -> Column:

@@ -26,20 +26,20 @@ def _table(words: dict[str, int]) -> Column:
 
 
 def span_value(words: Column, numbers: dict[str, int] | None = None, multipliers: dict[str, int] | None = None) -> Column:
-    """Value of an array of number words: they add up; a multiplier multiplies what is open (1 if nothing is) and from 1000 on closes it. Null of 0 or of another word."""
+    """Value of an array of number words: they add up; a multiplier multiplies what is open (1 if nothing is) and from 1000 on closes it. Null of 0, of another word, and of what 64 bits cannot hold."""
     add, times = _table(numbers or lx.UNITS | lx.TENS), _table(multipliers or lx.MULTIPLIERS)
     start = F.struct(F.lit(0).cast("long").alias("closed"), F.lit(0).cast("long").alias("open"))
 
     def step(s: Column, w: Column) -> Column:
         m, u = F.try_element_at(times, w), F.try_element_at(add, w)
-        grown = F.greatest(s["open"], F.lit(1).cast("long")) * m
+        grown = F.when(s["open"].isNotNull(), F.try_multiply(F.greatest(s["open"], F.lit(1).cast("long")), m))
         closes = F.coalesce(m >= 1000, F.lit(False))
         return F.struct(
-            (s["closed"] + F.when(closes, grown).otherwise(F.when(m.isNull() & u.isNull(), F.lit(None).cast("long")).otherwise(F.lit(0)))).alias("closed"),
-            F.when(closes, F.lit(0).cast("long")).when(m.isNotNull(), grown).otherwise(s["open"] + u).alias("open"),
+            F.try_add(s["closed"], F.when(closes, grown).otherwise(F.when(m.isNull() & u.isNull(), F.lit(None).cast("long")).otherwise(F.lit(0).cast("long")))).alias("closed"),
+            F.when(closes, F.lit(0).cast("long")).when(m.isNotNull(), grown).otherwise(F.try_add(s["open"], u)).alias("open"),
         )
 
-    total = F.aggregate(words, start, step, lambda s: s["closed"] + s["open"])
+    total = F.aggregate(words, start, step, lambda s: F.try_add(s["closed"], s["open"]))
     return F.when(total > 0, total)
 
 

@@ -47,11 +47,11 @@ def _core(word: Column) -> Column:
 
 def would_change(hypothesis: Column, table: Column) -> Column:
     words = text.tokens(hypothesis)
-    return (text.most_repeats(words) >= lx.REPAIR_REPEATS) | F.exists(words, lambda w: F.try_element_at(table, _core(w)).isNotNull())
+    return text.repeats(words, lx.REPAIR_REPEATS) | F.exists(words, lambda w: F.try_element_at(table, _core(w)).isNotNull())
 
 
 def _unlooped(hypothesis: Column) -> Column:
-    return F.when(text.most_repeats(text.tokens(hypothesis)) >= lx.REPAIR_REPEATS, text.collapse_repeats(hypothesis)).otherwise(hypothesis)
+    return F.when(text.repeats(text.tokens(hypothesis), lx.REPAIR_REPEATS), text.collapse_repeats(hypothesis)).otherwise(hypothesis)
 
 
 def fix(hypothesis: Column, table: Column) -> Column:

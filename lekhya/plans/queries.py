@@ -113,8 +113,7 @@ def corpus_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro average over whole documents, by source."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", "source")
-    s = scoring.score(views.docpair(spark, sf_dir).repartition("doc_id"), compose=text.nfc_native).join(d.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"))
+    s = scoring.score(views.docpair(spark, sf_dir).repartition("doc_id", "reference"), compose=text.nfc_native)
     return scoring.corpus(s, ["source"]).select("source", "n", "edits", "ref_words", F.round("wer", 6).alias("wer"))
 
 
@@ -234,13 +233,13 @@ def repair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalise_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.demo(spark).select("id", numbers.normalise(F.col("hypothesis"))["text"].alias("digits"))
+    return views.spoken(spark, sf_dir).select(*KEYS, numbers.normalise(F.col("hypothesis"))["text"].alias("digits"))
 
 
 @query
 def number_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.demo(spark).select("id", F.explode(numbers.normalise(F.col("hypothesis"))["conversions"]).alias("c"))
-    return c.select("id", "c.original", "c.converted", "c.value", "c.is_idiom", F.col("c.position").cast("long").alias("position"))
+    c = views.spoken(spark, sf_dir).select(*KEYS, F.posexplode(numbers.normalise(F.col("hypothesis"))["conversions"]).alias("nth", "c"))
+    return c.select(*KEYS, F.col("nth").cast("long").alias("nth"), "c.original", "c.converted", "c.value", "c.is_idiom", F.col("c.position").cast("long").alias("position"))
 
 
 @query
@@ -254,25 +253,28 @@ def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def loanword_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = loanwords.tag(numbers.normalise(F.col("hypothesis"))["text"])
-    return views.demo(spark).select("id", t["text"].alias("tagged"), t["n"].cast("long").alias("n"))
+    t = loanwords.tag(F.col("hypothesis"))
+    return views.spoken(spark, sf_dir).select(*KEYS, t["text"].alias("tagged"), t["n"].cast("long").alias("n"))
 
 
 @query
 def loanword_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = loanwords.tag(F.col("reference"))
-    return views.demo(spark).where("category = 'english_detection'").select("id", F.array_join(t["words"], ",").alias("words"))
+    return views.spoken(spark, sf_dir).select(*KEYS, F.array_join(t["words"], ",").alias("words"))
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleanup.run(views.spoken(spark, sf_dir), text.nfc_native)
 
 
 @query
 def cleanup_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cleanup.run(views.demo(spark))
-    return c.select("id", F.col("tags.text").alias("tagged"), "wer_before", "wer_hyp_only", "wer_both", "delta_naive", "delta_correct")
+    return _cleaned(spark, sf_dir).select(*KEYS, F.col("tags.text").alias("tagged"), "wer_before", "wer_hyp_only", "wer_both", "delta_naive", "delta_correct")
 
 
 @query
 def number_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanup.outcomes(cleanup.run(views.demo(spark)))
+    return cleanup.outcomes(_cleaned(spark, sf_dir))
 
 
 @query

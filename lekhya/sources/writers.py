@@ -29,8 +29,10 @@ def json_rows(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A table of at most `most` rows of a report, rendered on the driver."""
+    """A table of a report of at most `most` rows, rendered on the driver; of more rows it raises, for then nobody reads them."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    got = rows.limit(most).collect()
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report of over {most} rows: write it as a table")
     lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in got), ""])
