@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: Element ids of the Matroska and EBML specifications (fixed values).
 EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 EBML_VERSION, EBML_READ, EBML_ID_LEN, EBML_SIZE_LEN, DOC_TYPE, DOC_VERSION, DOC_READ = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 VOID, CRC32 = 0xEC, 0xBF
@@ -184,15 +184,23 @@ def demux(data: bytes) -> Media:
     number = lambda a, b: int.from_bytes(data[a:b], "big")
     real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
 
-    def block(at: int, end: int, base: int, key: bool | None) -> None:
-        track, at = read_vint(data, at)
+    def span(track: dict[str, object], size: int, of: int, whole: int | None) -> float:
+        """Ticks of a frame of size bytes: by the track's duration of a frame, else by its samples, else its share of the block."""
+        if track.get("frame_ns"):
+            return int(track["frame_ns"]) / out.scale  # type: ignore[call-overload]
+        if track.get("codec") == "A_PCM/INT/LIT" and track.get("rate"):
+            sample = max(1, int(track.get("bits") or 8) // 8) * int(track.get("channels") or 1)  # type: ignore[call-overload]
+            return size / sample * 1e9 / float(track["rate"]) / out.scale  # type: ignore[arg-type]
+        return (whole or 0) / of
+
+    def block(at: int, end: int, base: int, key: bool | None, whole: int | None = None) -> None:
+        number, at = read_vint(data, at)
         offset, flags = struct.unpack_from(">hB", data, at)
         ranges = unlace(data, at + 3, end, flags >> 1 & 3)
-        step = int(out.tracks.get(track, {}).get("frame_ticks", 0) or 0)
-        for i, (a, b) in enumerate(ranges):
-            pcm = out.tracks.get(track, {}).get("codec", "") == "A_PCM/INT/LIT"
-            when = base + offset + (a - ranges[0][0] if pcm and not step else i * step)
-            out.packets.append((track, when, bool(flags & 0x80) if key is None else key, a, b))
+        when, track = float(base + offset), out.tracks.get(number, {})
+        for a, b in ranges:
+            out.packets.append((number, round(when), bool(flags & 0x80) if key is None else key, a, b))
+            when += span(track, b - a, len(ranges), whole)
 
     def cluster(at: int, end: int) -> None:
         base = 0
@@ -202,9 +210,11 @@ def demux(data: bytes) -> Media:
             elif name == SIMPLE_BLOCK:
                 block(a, b, base, None)
             elif name == BLOCK_GROUP:
-                for inner, _, x, y in elements(data, a, b):
+                parts = [(inner, x, y) for inner, _, x, y in elements(data, a, b)]
+                whole = next((number(x, y) for inner, x, y in parts if inner == BLOCK_DURATION), None)
+                for inner, x, y in parts:
                     if inner == BLOCK:
-                        block(x, y, base, True)
+                        block(x, y, base, all(name != REFERENCE for name, _, _ in parts), whole)
 
     def track(at: int, end: int) -> None:
         own: dict[str, object] = {}
@@ -213,6 +223,8 @@ def demux(data: bytes) -> Media:
                 own["number"] = number(a, b)
             elif name == TRACK_TYPE:
                 own["type"] = number(a, b)
+            elif name == DEFAULT_DURATION:
+                own["frame_ns"] = number(a, b)
             elif name == CODEC_ID:
                 own["codec"] = data[a:b].decode("ascii", "replace")
             elif name == AUDIO:
@@ -223,6 +235,15 @@ def demux(data: bytes) -> Media:
                         own["channels" if inner == CHANNELS else "bits"] = number(x, y)
         out.tracks[int(own.get("number", 0))] = own  # type: ignore[call-overload]
 
+    def cue(at: int, end: int) -> None:
+        """A cue point has one time and a position for each track that has a block there."""
+        parts = [(n, a, b) for n, _, a, b in elements(data, at, end)]
+        time = next(number(a, b) for n, a, b in parts if n == CUE_TIME)
+        for n, a, b in parts:
+            if n == CUE_POSITIONS:
+                where = {m: number(x, y) for m, _, x, y in elements(data, a, b)}
+                out.cues.append((time, where[CUE_TRACK], where[CUE_CLUSTER]))
+
     for name, _, at, end in elements(data, 0, len(data)):
         if name == EBML:
             out.doc_type = next((data[a:b].decode() for n, _, a, b in elements(data, at, end) if n == DOC_TYPE), "")
@@ -242,10 +263,9 @@ def demux(data: bytes) -> Media:
                     out.clusters.append(start - at)
                     cluster(a, b)
                 elif top == CUES:
-                    for _, _, x, y in elements(data, a, b):
-                        inner = {n: (p, q) for n, _, p, q in elements(data, x, y)}
-                        where = {n: number(p, q) for n, _, p, q in elements(data, *inner[CUE_POSITIONS])}
-                        out.cues.append((number(*inner[CUE_TIME]), where[CUE_TRACK], where[CUE_CLUSTER]))
+                    for point, _, x, y in elements(data, a, b):
+                        if point == CUE_POINT:
+                            cue(x, y)
     return out
 
 
@@ -283,20 +303,20 @@ def store(docs: DataFrame, frame: int = FRAME) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """(doc_id, track, timestamp, keyframe, first_byte, end_byte) of every packet of media(doc_id, media); damaged files give no row."""
+    """(doc_id, track, timestamp, keyframe, first_byte, end_byte, error) of every packet of media(doc_id, media); a damaged file gives one row, with what is wrong with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    rows = demux(value.as_py() or b"").packets
-                except (ValueError, IndexError, KeyError, struct.error):
-                    continue
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "track", "timestamp", "keyframe", "first_byte", "end_byte"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, track long, timestamp long, keyframe boolean, first_byte long, end_byte long")
+                    rows = [(*p, None) for p in demux(value.as_py() or b"").packets]
+                except (ValueError, IndexError, KeyError, StopIteration, struct.error) as exc:
+                    rows = [(None, None, None, None, None, f"{type(exc).__name__}: {exc}")]
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "track", "timestamp", "keyframe", "first_byte", "end_byte", "error"])
+
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, track long, timestamp long, keyframe boolean, first_byte long, end_byte long, error string")
 
 
 def digests(docs: DataFrame, frame: int = FRAME) -> DataFrame:

@@ -18,10 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best window for each benchmark item at similarity 0.8 or more."""
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every whole document."""
     return lm_score.score(_table(spark, sf_dir, "documents"))
 
 
@@ -32,27 +34,33 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importance sample of all documents."""
     return quality.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of the secrets of every document."""
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
 def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives that it was written to."""
     written = keep(warc.archives(_table(spark, sf_dir, "pages")), "archives")
     return warc.records(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the file that it was stored in."""
     return matroska.digests(_table(spark, sf_dir, "documents"))
 
 
@@ -80,8 +88,9 @@ with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, s
 parts as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
 own as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts),
 good as (select doc_id, min(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels group by doc_id),
-hosts as (select host, count(good) as n, coalesce(sum(good), 0) as k, array_to_string(list_slice(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'), -2, -1), '.') as domain
-  from own left join good on page_id = doc_id group by host),
+labels_of as (select host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as parts, good from own left join good on page_id = doc_id),
+hosts as (select host, count(good) as n, coalesce(sum(good), 0) as k,
+  array_to_string(list_slice(parts, case when array_to_string(list_slice(parts, -2, -1), '.') in (TWO_LABEL) then -3 else -2 end, -1), '.') as domain from labels_of group by host, parts),
 domains as (select domain, regexp_replace(domain, '^[^.]*\.', '') as suffix, sum(n) as n, sum(k) as k from hosts group by domain),
 tops as (select suffix, sum(n) as n, sum(k) as k from domains group by suffix),
 total as (select (sum(k) + 1.0) / (sum(n) + 2.0) as m from tops),
@@ -101,6 +110,8 @@ select page_id, own.host, path, rule, coalesce(what, case when bound >= 0.5 then
 from own join b using (host) left join fit on pid is not distinct from page_id and ph = own.host and pp = path
 """
 
+_OP3 = _OP3.replace("TWO_LABEL", ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL))
+
 #: Rounds of the sharing: each stops at least one source, unless none is above; 24 exceed the 20 sources of the tables.
 _OP6 = r"""
 with recursive own as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(doc_id::varchar, '')) as key from documents),

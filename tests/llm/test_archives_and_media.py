@@ -90,8 +90,39 @@ def test_media_contract(spark, odd_docs, no_docs):
     assert M.digests(no_docs).count() == 0
     packets = M.packet_table(M.store(odd_docs.where("doc_id = 107"))).collect()
     assert len(packets) == next(r.payload_bytes for r in got if r.doc_id == 107) // 576
-    assert M.packet_table(spark.createDataFrame([(1, b"not a file"), (2, None)], "doc_id long, media binary")).count() == 0
+    broken = M.packet_table(spark.createDataFrame([(1, b"not a file"), (2, None)], "doc_id long, media binary")).collect()
+    assert [(r.doc_id, r.track) for r in broken] == [(1, None)] and "Error" in broken[0].error  # an empty file has no packet
 
 
 def test_queries_are_all_there():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def layout(track, blocks, cues=b"", scale=1_000_000):
+    """A file with the given track elements, cluster elements and cue elements, of sizes unknown in advance where the format allows it."""
+    info = M._element(M.INFO, M._uint(M.TIMESTAMP_SCALE, scale))
+    tracks = M._element(M.TRACKS, b"".join(M._element(M.TRACK_ENTRY, t) for t in track))
+    unknown = b"\x01" + b"\xff" * 7
+    cluster = M._id(M.CLUSTER) + unknown + M._uint(M.TIMESTAMP, 1000) + b"".join(blocks)
+    return M._element(M.EBML, M._element(M.DOC_TYPE, b"webm")) + M._id(M.SEGMENT) + unknown + M._element(M.VOID, b"xx") + info + tracks + cluster + (M._element(M.CUES, cues) if cues else b"")
+
+
+def test_timestamps_of_other_layouts():
+    frames = [b"a" * 10, b"b" * 20, b"c" * 30]
+    block = lambda n, offset, kind: M.vint(n) + bytes([offset >> 8, offset & 255, kind << 1 | 0x80]) + M.lace(frames, kind)
+    opus = M._uint(M.TRACK_NUMBER, 1) + M._element(M.CODEC_ID, b"A_OPUS") + M._uint(M.DEFAULT_DURATION, 20_000_000)
+    audio = M._element(M.SAMPLING, M.struct.pack(">f", 1000.0)) + M._uint(M.CHANNELS, 2) + M._uint(M.BIT_DEPTH, 16) + M._element(M.VOID, b"")
+    pcm = M._uint(M.TRACK_NUMBER, 200) + M._element(M.CODEC_ID, b"A_PCM/INT/LIT") + M._element(M.AUDIO, audio)
+    other = M._uint(M.TRACK_NUMBER, 3) + M._element(M.CODEC_ID, b"S_TEXT")
+    group = M._element(M.BLOCK_GROUP, M._element(M.BLOCK, block(3, 50, M.EBML_LACE)) + M._uint(M.BLOCK_DURATION, 90) + M._uint(M.REFERENCE, 1))
+    position = lambda t, at: M._element(M.CUE_POSITIONS, M._uint(M.CUE_TRACK, t) + M._uint(M.CUE_CLUSTER, at))
+    cues = M._element(M.CUE_POINT, M._uint(M.CUE_TIME, 1000) + position(1, 40) + position(200, 41)) + M._element(M.VOID, b"-")
+    data = layout([opus, pcm, other], [M._element(M.SIMPLE_BLOCK, block(1, 5, M.XIPH)), M._element(M.SIMPLE_BLOCK, block(200, 7, M.XIPH)), group], cues)
+    media = M.demux(data)
+    assert [(t, when, key) for t, when, key, _, _ in media.packets] == [
+        (1, 1005, True), (1, 1025, True), (1, 1045, True),
+        (200, 1007, True), (200, 1010, True), (200, 1014, True),  # 4 bytes a sample, one sample a millisecond: 2.5 and 5 ticks, rounded
+        (3, 1050, False), (3, 1080, False), (3, 1110, False),
+    ]
+    assert [data[a:b] for *_, a, b in media.packets] == frames * 3
+    assert media.cues == [(1000, 1, 40), (1000, 200, 41)] and media.doc_type == "webm"

@@ -92,3 +92,24 @@ def test_many_ranges_agree_with_one_sort(spark, monkeypatch):
                 once = min(max(left, 0), i % 7)
                 assert got[i].taken == target // size * (i % 7) + once, (per, i)
                 left -= i % 7
+
+
+def test_sql_agrees_on_two_label_suffixes(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from lekhya.llm import queries
+
+    rng = random.Random(2)
+    hosts = [f"{a}{b}.{c}" for a in ("", "www.", "m.") for b in ("good", "bad", "mixed") for c in ("co.uk", "com", "org.uk", "uk", "com.br:8080")] + ["co.uk", "uk", ""]
+    pages = [(i, f"http://{rng.choice(hosts)}/x{i}", "h") for i in range(700)] + [(5000, None, None)]
+    labels = [(i, int(rng.random() < (0.95 if "good" in u else 0.1)), 0) for i, u, _ in pages[:400]]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in queries.op3_url_filter(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"create view {name} as from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["op3_url_filter"]).fetchall())
+    assert got == want and {v for *_, v in got} == {"allow", "block"}
