@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lekhya.functions.once import let
 from lekhya.llm.common import keep
 
 #: Kinds in the order in which spans with one start are listed.
@@ -24,7 +25,11 @@ ENCODINGS = {
 }
 #: Lengths from which a class of candidates begins; each class has its own false-discovery control.
 CLASSES = (20, 28, 40, 64, 128)
-FALSE_DISCOVERY, ALPHA, BINS = 0.01, 0.001, 20
+FALSE_DISCOVERY, BINS = 0.01, 20
+
+
+#: Matches that are placed together: places in a text are found block by block, so a text of many matches costs their number, not its square.
+BLOCK = 256
 
 
 def spans(text: Column, pattern: str, on: Column, passes=None, group: int = 0) -> Column:
@@ -35,7 +40,7 @@ def spans(text: Column, pattern: str, on: Column, passes=None, group: int = 0) -
     """
     found = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
     empty = F.lit([]).cast("array<struct<start:long,end:long,value:string>>")
-    first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    zero = F.lit(0).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
@@ -44,7 +49,16 @@ def spans(text: Column, pattern: str, on: Column, passes=None, group: int = 0) -
         ok = x["m"].isNotNull() if passes is None else x["m"].isNotNull() & passes(x["g"])
         return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(on, F.aggregate(found, first, step, lambda acc: acc["out"])).otherwise(empty)
+    def blocks(all_found: Column) -> Column:
+        first = F.struct(zero.alias("at"), empty.alias("out"))
+        return F.transform(F.sequence(F.lit(1), F.size(all_found), F.lit(BLOCK)), lambda i: F.aggregate(F.slice(all_found, i, BLOCK), first, step))
+
+    def placed(parts: Column) -> Column:
+        starts = F.aggregate(parts, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        move = lambda s, o: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["value"].alias("value"))
+        return F.flatten(F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda x, o: F.transform(x["out"], lambda s: move(s, o))))
+
+    return F.when(on, let(let(found, blocks), placed)).otherwise(empty)
 
 
 def upper_tail(z: Column) -> Column:
@@ -89,20 +103,33 @@ def battery(found: DataFrame, value: str = "value") -> DataFrame:
     return found.withColumns({"p_random": F.least(3 * random, F.lit(1.0)), "p_natural": upper_tail(natural)}).drop("core", "alphabet", "delta", "chars", "x", "a", "chi", "mean", "high", "runs", "cov", "var")
 
 
+def _bin(p: str) -> Column:
+    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-60))) * BINS), F.lit(60 * BINS)).cast("int")
+
+
+def _step_up(binned: DataFrame, bin: str) -> DataFrame:
+    """(class, cut): by Benjamini-Hochberg, p-values of a class are rejected from bin cut on; classes without one have no row."""
+    hist = binned.groupBy("class", F.col(bin).alias("bin")).agg(F.count("*").alias("c"))
+    down = Window.partitionBy("class").orderBy(F.desc("bin"))
+    hist = hist.select("class", "bin", F.sum("c").over(down).alias("above"), F.sum("c").over(Window.partitionBy("class")).alias("m"))
+    return hist.where(F.pow(F.lit(10.0), -F.col("bin") / BINS) <= FALSE_DISCOVERY * F.col("above") / F.col("m")).groupBy(F.col("class").alias(f"{bin}_class")).agg(F.min("bin").alias(f"{bin}_cut"))
+
+
 def discoveries(tested: DataFrame) -> DataFrame:
-    """Rows of tested that Benjamini-Hochberg keeps within their class of lengths, and that look random.
+    """Rows of tested that are found by control of false discoveries within their class of lengths, twice over.
 
-    P-values are counted in bins of a twentieth of a decade: a few thousand rows whatever the
-    input, so the step-up thresholds need no global sort.
+    Benjamini-Hochberg rejects that a string is natural, by the uniformity of its alphabet;
+    and among the strings it rejects, by uniformity, runs and serial correlation together, that
+    they are random. What is not natural and not rejected as random is a discovery. P-values
+    are counted in bins of a twentieth of a decade: a few thousand rows whatever the input, so
+    the step-up thresholds need no global sort; the cuts, a row a class, are broadcast.
     """
     size = reduce(lambda c, i: F.when(F.col("n") >= CLASSES[i], i).otherwise(c), range(1, len(CLASSES)), F.lit(0))
-    binned = tested.withColumns({"class": size, "bin": F.least(F.floor(-F.log10(F.greatest("p_natural", F.lit(1e-60))) * BINS), F.lit(60 * BINS)).cast("int")})
-    hist = binned.groupBy("class", "bin").agg(F.count("*").alias("c"))
-    down = Window.partitionBy("class").orderBy(F.desc("bin"))
-    hist = hist.select("class", "bin", F.sum("c").over(down).alias("above"), F.sum("c").over(Window.partitionBy("class")).alias("m"))
-    cut = hist.where(F.pow(F.lit(10.0), -F.col("bin") / BINS) <= FALSE_DISCOVERY * F.col("above") / F.col("m")).groupBy("class").agg(F.min("bin").alias("cut"))
-    kept = binned.join(F.broadcast(cut.withColumnRenamed("class", "k")), F.col("class") == F.col("k"))
-    return kept.where((F.col("bin") >= F.col("cut")) & (F.col("p_random") >= ALPHA)).drop("class", "bin", "k", "cut")
+    binned = tested.withColumns({"class": size, "natural": _bin("p_natural"), "random": _bin("p_random")})
+    for bin in ("natural", "random"):
+        binned = binned.join(F.broadcast(_step_up(binned, bin)), F.col("class") == F.col(f"{bin}_class"), "left")
+    found = (F.col("natural") >= F.col("natural_cut")) & (F.col("random_cut").isNull() | (F.col("random") < F.col("random_cut")))
+    return binned.where(found).drop("class", "natural", "random", "natural_class", "natural_cut", "random_class", "random_cut")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -129,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "row", F.array_sort(F.concat(place(0), place(1), place(2))).alias("base"), "candidates")
     rows = keep(rows, "spans")
     free = rows.select("row", "base", F.explode("candidates").alias("c")).where(~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))))
-    tested = battery(free.select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value")))
+    tested = keep(battery(free.select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value"))).drop("value"), "tested")
     extra = discoveries(tested).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("extra")).withColumnRenamed("row", "r")
     joined = rows.join(extra, F.col("row") == F.col("r"), "left")
     return joined.select("doc_id", "base", F.array_sort(F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.concat("base", "extra"))).alias("spans"))

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 from collections import defaultdict
 
 from lekhya.llm import line_dedup as D
@@ -166,3 +168,66 @@ def test_rows_of_no_id_or_one_id_keep_their_own_lines(spark):
     assert sum("second own text" in t for t in twos) in (1, 2)
     again = sorted((r.doc_id or 0, r.text, r.n_lines, list(r.removed)) for r in D.dedup(df.repartition(5)).collect())
     assert again == got
+
+
+def tail(z):
+    q = math.exp(-z * z / 2) * (2 / math.sqrt(2 * math.pi)) / (abs(z) + math.sqrt(z * z + 8 / math.pi))
+    return q if z >= 0 else 1 - q
+
+
+def tests_of(value):
+    """(encoding, n, p_random, p_natural) in plain Python."""
+    core = value.rstrip("=")
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", core) else "base32" if re.fullmatch("[A-Z2-7]+", core) else "base64"
+    core = core.lower() if kind == "hex" else core.replace("-", "+").replace("_", "/")
+    alphabet, delta = S.ENCODINGS[kind]
+    x, a, n = [alphabet.index(c) for c in core], len(alphabet), len(core)
+    chi = sum((core.count(c) - n / a) ** 2 / (n / a) for c in alphabet)
+    high = [v >= a / 2 for v in x]
+    k = sum(high)
+    runs, mean = 1 + sum(u != v for u, v in zip(high, high[1:], strict=False)), 2 * k * (n - k) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = (runs - mean) / math.sqrt(spread) if spread > 0 else 40
+    m = sum(x) / n
+    var = sum((v - m) ** 2 for v in x)
+    z_serial = (sum((u - m) * (v - m) for u, v in zip(x, x[1:], strict=False)) / var + 1 / n) * math.sqrt(n) if var else 40
+    least = min(tail((chi - a + 1) / math.sqrt(2 * (a - 1))), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial)))
+    return kind, n, min(1, 3 * least), tail((a - 1 + n * delta - chi) / math.sqrt(2 * (a - 1) + 4 * n * delta))
+
+
+def rejected(ps, level=S.FALSE_DISCOVERY):
+    """Benjamini-Hochberg over p-values rounded up to bins of a twentieth of a decade; the numbers of those rejected."""
+    bins = [min(int(-math.log10(max(p, 1e-60)) * S.BINS), 60 * S.BINS) for p in ps]
+    good = [b for b in set(bins) if 10 ** (-b / S.BINS) <= level * sum(x >= b for x in bins) / len(bins)]
+    return {i for i, b in enumerate(bins) if good and b >= min(good)}
+
+
+def test_battery_and_discoveries_against_plain_python(spark):
+    rng = random.Random(31)
+    alphabet = S.ENCODINGS["base64"][0]
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    values = [draw(alphabet, rng.randint(20, 200)) for _ in range(120)] + [draw("0123456789abcdef", rng.choice([32, 40, 64])) for _ in range(60)] + [draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 40) + "==" for _ in range(30)]
+    values += [prose(rng, 12).replace(" ", "/")[: rng.randint(20, 150)] for _ in range(150)] + ["a" * 30, "ab" * 40, "0123456789" * 4, alphabet, alphabet * 2, "abcdef_-" * 4, "A1" * 12]
+    values = [v for v in values if len(v.rstrip("=")) >= 20]
+    df = spark.createDataFrame(list(enumerate(values)), "row long, value string")
+    got = {r.row: r for r in S.battery(df).collect()}
+    want = [tests_of(v) for v in values]
+    for i, (kind, n, p, q) in enumerate(want):
+        assert (got[i].encoding, got[i].n) == (kind, n)
+        assert math.isclose(got[i].p_random, p, rel_tol=1e-6, abs_tol=1e-12) and math.isclose(got[i].p_natural, q, rel_tol=1e-6, abs_tol=1e-12)
+    found = set()
+    for low, high in zip(S.CLASSES, [*S.CLASSES[1:], 10**9], strict=True):
+        mine = [i for i, w in enumerate(want) if low <= w[1] < high]
+        keep = rejected([want[i][3] for i in mine]) - rejected([want[i][2] for i in mine])
+        found |= {mine[k] for k in keep}
+    assert {r.row for r in S.discoveries(S.battery(df)).collect()} == found
+    whole = [i for i in range(210) if want[i][1] >= 40]  # shorter strings tell less
+    assert sum(i in found for i in whole) >= 0.9 * len(whole) and sum(i >= 210 for i in found) <= 5, (len(whole), len(found))
+
+
+def test_many_matches_cost_their_number(spark):
+    text = "é " + " ".join("token=abcdef%d" % i for i in range(30_000))
+    began = time.time()
+    got = S.digest(S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert got.n_assign == 30_000 and got.base_sha256 == hashlib.sha256(base(text).encode()).hexdigest()
+    assert time.time() - began < 60
