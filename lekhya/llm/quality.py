@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.llm import textbytes as tb
-from lekhya.llm.common import keep
+from lekhya.llm.common import discard, keep
 
 #: log2 of the hash buckets of words, and of word pairs.
 BUCKET_BITS = 18
@@ -20,9 +20,9 @@ LABELLED_ROWS = 50_000
 #: Pseudo-counts that draw a bucket's ratio towards one.
 SHRINK = 1.0
 #: A bucket says something from a log-likelihood ratio (G squared) of its counts on; 12 is met by none of 6 expected.
+#: Without it a text loses by each of its own rare words that no labelled text has: of held-out good
+#: texts at sf0.1 such weights kept 14 to 74 %, these 96 %.
 EVIDENCE = 12.0
-#: Scale of the Gumbel noise, in units of the log weight.
-TEMPERATURE = 0.01
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
 _KIND[tb.WHITE] = 0
@@ -59,24 +59,19 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
 
 @dataclass
 class Model:
-    """ratio: centred log ratio of a bucket's target and raw probability. cut: least kept w / TEMPERATURE + noise."""
+    """ratio: log ratio of a bucket's target and raw probability. cut: least kept w + noise."""
 
     ratio: np.ndarray
     threshold: float = 0.0
     cut: float = -np.inf
 
     def weights(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log weight of each row: its summed log ratios over the root of their number, 0 without any.
-
-        The sum of a clean text of n features wanders from 0 by the root of n, so one
-        threshold serves short and long texts.
-        """
-        total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+        """Log importance weight of each row: the sum of its features' log ratios, 0 without any."""
+        total = np.zeros(len(offsets) - 1)
         for buckets, first in features(raw, offsets):
             run = np.concatenate([[0.0], np.cumsum(self.ratio[buckets])])
             total += run[first[1:]] - run[first[:-1]]
-            n += np.diff(first)
-        return total / np.sqrt(np.maximum(n, 1))
+        return total
 
 
 def gumbel(ids: np.ndarray) -> np.ndarray:
@@ -154,7 +149,7 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = _weights(batch.column(1), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w / TEMPERATURE + gumbel(_ids(batch.column(0))))], names=["doc_id", "log_weight", "sampling_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w + gumbel(_ids(batch.column(0))))], names=["doc_id", "log_weight", "sampling_key"])
         tb.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, log_weight double, sampling_key double")
@@ -200,13 +195,14 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int =
             return values[k - above - 1]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, share: float | None = None) -> tuple[Model, DataFrame]:
     """The fitted model with its cut, and the weights of all documents.
 
-    The sample has as many documents as weigh at least the threshold that best tells good
-    from bad labels: with weights over TEMPERATURE and Gumbel noise, its top k are a sample
-    without replacement by weight. Without labels, or labels of one kind, there is no
-    evidence: all documents stay (if every label is bad: none).
+    The k largest of log weight plus Gumbel noise are a sample of k without replacement by
+    weight. k is the share of the documents where one is given, else the number of those that
+    weigh at least the threshold that best tells good from bad labels. Without labels, or
+    labels of one kind, there is no evidence: all documents stay (if every label is bad:
+    none). Noise is of the id, so reruns agree; all null ids share theirs, as do equal ids.
     """
     model = fit(docs, labels, most)
     weights = keep(weigh(docs, model), "weights")
@@ -215,17 +211,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> tupl
     known = spark.createDataFrame(list(zip(ids.tolist(), good.tolist(), strict=True)), "id long, good boolean")
     got = weights.join(F.broadcast(known), F.col("doc_id") == F.col("id")).groupBy("id", "good").agg(F.min("log_weight").alias("w")).toPandas()
     model.threshold = _threshold(got["w"].to_numpy(float), got["good"].to_numpy(bool))
-    k = weights.where(F.col("log_weight") >= F.lit(model.threshold)).count()
+    k = weights.where(F.col("log_weight") >= F.lit(model.threshold)).count() if share is None else round(share * weights.count())
     model.cut = kth_largest(weights, "sampling_key", k) if k else np.inf
     return model, weights
 
 
-def select(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, share: float | None = None) -> DataFrame:
     """The sampled rows of docs with all their columns, as an operator (see train).
 
     Rows are judged by their own text and id in one more pass, without a join. Null and blank texts weigh 0.
     """
-    model, _ = train(docs, labels, most)
+    model, weights = train(docs, labels, most, share)
+    discard(weights)
     return apply(docs, model)
 
 
@@ -234,14 +231,14 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = _weights(batch.column(text), model) / TEMPERATURE + gumbel(_ids(batch.column(ids)))
+            key = _weights(batch.column(text), model) + gumbel(_ids(batch.column(ids)))
             yield batch.filter(pa.array(key >= model.cut))
         tb.trim()
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, share: float | None = None) -> DataFrame:
     """(doc_id, log_weight, sampling_key) of the sampled rows; equal keys at the cut all stay."""
-    model, weights = train(docs, labels, most)
+    model, weights = train(docs, labels, most, share)
     return weights.where(F.col("sampling_key") >= F.lit(model.cut))

@@ -30,7 +30,7 @@ def test_selection_drops_bad_texts_and_keeps_good_ones(spark):
     kept = {r.doc_id for r in Q.sampled(docs, lab).collect()}
     bad = {i for i in range(900) if i % 5 == 0}
     good = set(range(900)) - bad
-    assert len(kept & bad) <= 0.05 * len(bad) and len(kept & good) >= 0.98 * len(good)
+    assert len(kept & bad) <= 0.05 * len(bad) and len(kept & good) >= 0.97 * len(good)
     assert {r.doc_id for r in Q.select(docs, lab).collect()} == kept
     assert Q.select(docs, lab).columns == docs.columns
 
@@ -59,3 +59,66 @@ def test_features_stop_at_rows():
     (tok, first), (pairs, pfirst) = Q.features(raw, np.array([0, 9, 9, len(raw)]))
     assert list(np.diff(first)) == [3, 0, 6] and list(np.diff(pfirst)) == [2, 0, 5]
     assert len(set(pairs[2:])) < 5 and len(set(tok)) == 6
+
+
+def brute_force(rows, labels):
+    """(log weight, sampling key) of each id and k, in plain Python from words and their hashes."""
+    import math
+    import re
+    from collections import Counter
+
+    from lekhya.llm import textbytes as tb
+
+    token = re.compile(r"[A-Za-z0-9_\x80-\U0010ffff]+|[^A-Za-z0-9_\x80-\U0010ffff\x20\x09-\x0D]+")
+    word = lambda w: int(tb.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
+    mask, shift = (1 << 64) - 1, 64 - Q.BUCKET_BITS
+    feats, known = {}, {}
+    for i, t, *_ in rows:
+        ws = [w.lower() for w in token.findall(t)]
+        h = [known.setdefault(w, word(w)) for w in ws]
+        pairs = [int(tb.mix(np.array([h[k] * 31 + h[k + 1] & mask], np.uint64))[0]) for k in range(len(h) - 1)]
+        for k in range(len(h) - 3):
+            if ws[k] == ws[k + 1] == ws[k + 2] == ws[k + 3]:
+                pairs[k] = int(Q._REPEATED)
+        feats[i] = [[x >> shift for x in h], [x >> shift for x in pairs]]
+    good = {i for i, q, t in labels if q == 1 and t == 0}
+    weight = dict.fromkeys(feats, 0.0)
+    for part in (0, 1):
+        raw, own = Counter(), Counter()
+        for i, f in feats.items():
+            raw.update(set(f[part]))
+            own.update(set(f[part]) if i in good else ())
+        order, n = sorted(raw, key=lambda b: own[b] / raw[b]), 0
+        for middle in order:
+            n += raw[middle]
+            if n >= sum(raw.values()) / 2:
+                break
+        rate = max(own[middle] / raw[middle], sum(own.values()) / sum(raw.values()) / 2)
+        ratio = {}
+        for b, r in raw.items():
+            e, t = r * rate, own[b]
+            g2 = 2 * ((t * math.log(t / e) if t else 0) - (t - e))
+            ratio[b] = math.log((t + Q.SHRINK) / (e + Q.SHRINK)) if g2 >= Q.EVIDENCE else 0.0
+        for i, f in feats.items():
+            weight[i] += sum(ratio[b] for b in f[part])
+    return weight
+
+
+def test_ratios_weights_and_sample_against_plain_python(spark):
+    rows, labels = corpus(500)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = brute_force(rows, labels)
+    model, weights = Q.train(docs, lab, share=0.4)
+    got = {r.doc_id: r for r in weights.collect()}
+    assert all(abs(got[i].log_weight - want[i]) < 1e-6 for i in want)
+    noise = dict(zip(want, Q.gumbel(np.array(list(want))), strict=True))
+    key = {i: want[i] + noise[i] for i in want}
+    top = set(sorted(key, key=lambda i: -key[i])[:200])
+    assert {r.doc_id for r in Q.sampled(docs, lab, share=0.4).collect()} == top
+    assert top != set(sorted(want, key=lambda i: -want[i])[:200])  # noise matters
+
+
+def test_noise_is_gumbel():
+    g = Q.gumbel(np.arange(200_000))
+    assert abs(g.mean() - 0.5772) < 0.01 and abs(g.var() - np.pi**2 / 6) < 0.02

@@ -221,7 +221,7 @@ def test_battery_and_discoveries_against_plain_python(spark):
         keep = rejected([want[i][3] for i in mine]) - rejected([want[i][2] for i in mine])
         found |= {mine[k] for k in keep}
     assert {r.row for r in S.discoveries(S.battery(df)).collect()} == found
-    whole = [i for i in range(210) if want[i][1] >= 40]  # shorter strings tell less
+    whole = [i for i in range(120) if want[i][1] >= 40]  # shorter strings, and smaller alphabets, tell less
     assert sum(i in found for i in whole) >= 0.9 * len(whole) and sum(i >= 210 for i in found) <= 5, (len(whole), len(found))
 
 
