@@ -60,12 +60,14 @@ def test_the_index_finds_all_within_the_radius():
     import numpy as np
 
     items.fps = np.array([rng.getrandbits(64) for _ in range(300)], np.uint64)
+    items.sizes = [7 + i % 2 for i in range(300)]
     probes = []
     for x in items.fps[:100]:
         y = int(x)
-        for i in rng.sample(range(64), rng.randint(0, 22)):
+        for i in rng.sample(range(64), rng.randint(0, 26)):
             y ^= 1 << i
         probes.append(y)
-    got = items.near(np.array(probes, np.uint64))
-    for y, found in zip(probes, got, strict=True):
-        assert set(found) == {i for i, x in enumerate(items.fps) if (int(x) ^ y).bit_count() <= D.RADIUS}
+    for size in (7, 8):
+        got = items.near(np.array(probes, np.uint64), size)
+        for y, found in zip(probes, got, strict=True):
+            assert set(found) == {i for i, x in enumerate(items.fps) if items.sizes[i] == size and (int(x) ^ y).bit_count() <= D.RADIUS}
