@@ -60,7 +60,18 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     cut_id, cut_size), alike documents at it, and cut_words, what each of them gives. One row a
     source reaches the driver.
     """
-    base = keep(mark(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+    base = sized(docs)
+    out = _plan(base, weights, share, epochs)
+    discard(base)
+    return out
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, _size, _key, _bits), kept: words are counted once."""
+    return keep(mark(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+
+
+def _plan(base: DataFrame, weights: tuple[float, ...], share: float, epochs: float) -> DataFrame:
     totals = [(r.source, r.n, r.c) for r in base.groupBy("source").agg(F.sum("_size").alias("n"), F.count("*").alias("c")).collect()]
     want = targets([(s, n) for s, n, _ in totals], weights, share, epochs)
     rows = []
@@ -68,7 +79,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         full = int(want[s] // n) if n else 0
         bits = min(MOST_RANGES, max(1, c // PER_RANGE)).bit_length() - 1
         rows.append((s, n, float(want[s]), full, math.floor(want[s] - full * n + 0.5), 20 - bits))
-    sources = docs.sparkSession.createDataFrame(rows, "s string, source_size long, target double, full long, rest long, shift int")
+    sources = base.sparkSession.createDataFrame(rows, "s string, source_size long, target double, full long, rest long, shift int")
     side = F.broadcast(sources) if len(rows) <= FEW_SOURCES else sources
     ranged = base.join(side, F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.expr("shiftright(_bits, shift)"))
     sums = ranged.groupBy("s", "range").agg(F.sum("_size").alias("n"), F.first("rest").alias("rest"))
@@ -82,15 +93,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     placed = alike.withColumn("before", F.coalesce(F.sum(F.col("_size") * F.col("m")).over(order), F.lit(0)))
     cut = placed.where("_size > 0 and before < left and left <= before + _size * m")
     cut = cut.select(F.col("s").alias("cs"), F.col("_key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("_size").alias("cut_size"), F.expr("(left - before) div m").alias("cut_words"))
-    out = keep(sources.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left").drop("cs", "shift", "rest"), "plan")
-    discard(base)
-    return out
+    return keep(sources.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left").drop("cs", "shift", "rest"), "plan")
 
 
 def taken(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """docs with _size, source_size, target and taken by a plan, in one pass without a shuffle: before the cut a document gives all its words once more, after it none."""
+    return _taken(mark(docs.select(F.struct(*docs.columns).alias("_own"), "source", "doc_id", "text")).drop("text", "_bits"), sources)
+
+
+def _taken(marked: DataFrame, sources: DataFrame) -> DataFrame:
     few = sources.count() <= FEW_SOURCES
-    marked = mark(docs.select(F.struct(*docs.columns).alias("_own"), "source", "doc_id", "text")).drop("text", "_bits")
     both = marked.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("s")))
     place = F.struct("_key", "doc_id", "_size")
     cut = F.struct(F.col("cut_key").alias("_key"), F.col("cut_id").alias("doc_id"), F.col("cut_size").alias("_size"))
@@ -107,6 +119,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     equal in id and size at the cut give alike, so a source can miss its target by fewer words
     than there are such rows. Other columns are not read. An empty table gives no row.
     """
-    docs = docs.select("doc_id", "source", "text")
-    out = taken(docs, plan(docs, weights, share, epochs))
+    base = sized(docs)
+    out = _taken(base.withColumn("_own", F.struct("doc_id", "source")), _plan(base, weights, share, epochs))
     return out.select("_own.doc_id", "_own.source", F.col("_size").alias("size"), "source_size", "target", "taken")
