@@ -21,8 +21,10 @@ LABELLED_ROWS = 50_000
 SHRINK = 1.0
 #: A bucket says something from a log-likelihood ratio (G squared) of its counts on; 12 is met by none of 6 expected.
 #: Without it a text loses by each of its own rare words that no labelled text has: of held-out good
-#: texts at sf0.1 such weights kept 14 to 74 %, these 96 %.
+#: texts at sf0.1 such weights kept 14 to 74 %.
 EVIDENCE = 12.0
+#: Scale of the Gumbel noise, in units of the log weight.
+TEMPERATURE = 0.01
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
 _KIND[tb.WHITE] = 0
@@ -59,19 +61,25 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
 
 @dataclass
 class Model:
-    """ratio: log ratio of a bucket's target and raw probability. cut: least kept w + noise."""
+    """ratio: log ratio of a bucket's target and raw probability. cut: least kept w / TEMPERATURE + noise."""
 
     ratio: np.ndarray
     threshold: float = 0.0
     cut: float = -np.inf
 
     def weights(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log importance weight of each row: the sum of its features' log ratios, 0 without any."""
-        total = np.zeros(len(offsets) - 1)
+        """Log weight of each row: its summed log ratios over the root of their number, 0 without any.
+
+        The sum of a clean text of n features wanders from 0 by the root of n, so one
+        threshold serves short and long texts; the plain sum, at temperature 1, kept 87.5 % of
+        the documents of check_s that are labelled good, and 26 % of the toxic ones.
+        """
+        total, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
         for buckets, first in features(raw, offsets):
             run = np.concatenate([[0.0], np.cumsum(self.ratio[buckets])])
             total += run[first[1:]] - run[first[:-1]]
-        return total
+            n += np.diff(first)
+        return total / np.sqrt(np.maximum(n, 1))
 
 
 def gumbel(ids: np.ndarray) -> np.ndarray:
@@ -149,7 +157,7 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = _weights(batch.column(1), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w + gumbel(_ids(batch.column(0))))], names=["doc_id", "log_weight", "sampling_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w / TEMPERATURE + gumbel(_ids(batch.column(0))))], names=["doc_id", "log_weight", "sampling_key"])
         tb.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, log_weight double, sampling_key double")
@@ -198,8 +206,8 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int =
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, share: float | None = None) -> tuple[Model, DataFrame]:
     """The fitted model with its cut, and the weights of all documents.
 
-    The k largest of log weight plus Gumbel noise are a sample of k without replacement by
-    weight. k is the share of the documents where one is given, else the number of those that
+    The k largest of log weight over TEMPERATURE plus Gumbel noise are a sample of k without
+    replacement by weight to that power: close to the k heaviest. k is the share of the documents where one is given, else the number of those that
     weigh at least the threshold that best tells good from bad labels. Without labels, or
     labels of one kind, there is no evidence: all documents stay (if every label is bad:
     none). Noise is of the id, so reruns agree; all null ids share theirs, as do equal ids.
@@ -231,7 +239,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = _weights(batch.column(text), model) + gumbel(_ids(batch.column(ids)))
+            key = _weights(batch.column(text), model) / TEMPERATURE + gumbel(_ids(batch.column(ids)))
             yield batch.filter(pa.array(key >= model.cut))
         tb.trim()
 
