@@ -52,11 +52,11 @@ def normalize_text(text: Column, compose=nfc) -> Column:
     return F.regexp_replace(compose(strip(text)), " {2,}", " ")
 
 
-def normalize_for_wer(text: Column, compose=nfc) -> Column:
-    """The form in which transcripts are compared: composed, runs of danda or period as one danda, none of them at the end, single spaces."""
+def normalize_for_wer(text: Column, compose=nfc, single: bool = True) -> Column:
+    """The form in which transcripts are compared: composed, runs of danda or period as one danda, none of them at the end, single spaces (if single)."""
     marked = F.regexp_replace(compose(text), f"[{lx.DANDA}.]{{2,}}", lx.DANDA)
     tail = F.regexp_replace(marked, f"[{lx.DANDA}. ]+$", "")
-    return F.regexp_replace(strip(tail), " {2,}", " ")
+    return F.regexp_replace(strip(tail), " {2,}", " ") if single else strip(tail)
 
 
 def tokens(text: Column) -> Column:

@@ -32,3 +32,16 @@ def outcomes(cleaned: DataFrame) -> DataFrame:
     d = F.col("wer_both") - F.col("wer_before")
     kind = F.when(d < -MARGIN, "improved").when(d > MARGIN, "regressed").otherwise("unchanged")
     return cleaned.where(F.size(numbers.real(F.col("conversions"))) > 0).groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def edge_cases(cleaned: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in which an idiom shielded a number word: what came in, what went out, and the shielded words in their order."""
+    idioms = F.transform(F.filter("conversions", lambda c: c["is_idiom"]), lambda c: c["original"])
+    return cleaned.withColumn("idioms", idioms).where(F.size("idioms") > 0).select(*keys, F.col("hyp").alias("raw"), F.col("hyp_digits").alias("digits"), "idioms")
+
+
+def results(cleaned: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the result file, in its names."""
+    tags = [F.col("tags.text").alias("final_tagged"), F.col("conversions").alias("number_conversions"), F.col("tags.words").alias("english_words_detected"), F.col("tags.n").cast("long").alias("english_count")]
+    rates = ["wer_before", "wer_hyp_only", F.col("wer_both").alias("wer_both_normalised"), F.col("delta_naive").alias("wer_delta_naive"), F.col("delta_correct").alias("wer_delta_correct")]
+    return cleaned.select(*keys, F.col("ref").alias("reference"), F.col("hyp").alias("raw_asr"), F.col("hyp_digits").alias("number_normalised"), *tags, *rates)

@@ -85,3 +85,24 @@ def summary(evaluated: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg(b).alias("mean_before"), F.avg(a).alias("mean_after"), F.median(b).alias("median_before"), F.median(a).alias("median_after"),
         F.count_if(F.col("outcome") == "improved").alias("improved"), F.count_if(F.col("outcome").isin("unchanged", "unchanged_wer")).alias("unchanged"), F.count_if(F.col("outcome") == "regressed").alias("regressed"),
     )
+
+
+def improved(evaluated: DataFrame, keys: list[str]) -> DataFrame:
+    """Utterances that the map made better: before, after, and both rates to 4 places."""
+    rates = [F.round(c, 4).alias(c) for c in ("wer_before", "wer_after")]
+    return evaluated.where("outcome = 'improved'").select(*keys, F.col("ref_norm").alias("reference"), F.col("hyp_norm").alias("before"), F.col("fixed").alias("after"), *rates)
+
+
+def report(evaluated: DataFrame, table: DataFrame) -> DataFrame:
+    """One row: the summary to 4 places, what the repair gained, and the entries of the map (hyp, ref, source) by source. Medians are upper ones, differences those of the exact values."""
+    b, a = F.col("wer_before"), F.col("wer_after")
+    upper = lambda c: F.expr(f"percentile_disc(0.5) within group (order by `{c}` desc)")
+    kind = F.col("outcome")
+    made = evaluated.agg(
+        F.count("*").alias("target_samples"), F.avg(b).alias("mean_b"), F.avg(a).alias("mean_a"), upper("wer_before").alias("median_b"), upper("wer_after").alias("median_a"),
+        F.count_if(kind == "improved").alias("fixed_count"), F.count_if(kind.isin("unchanged", "unchanged_wer")).alias("unchanged_count"), F.count_if(kind == "regressed").alias("regressed_count"),
+    )
+    entries = table.agg(F.count("*"), F.count_if(F.col("source") == "mined"), F.count_if(F.col("source") == "seed")).first()
+    sizes = [F.lit(n).cast("long").alias(name) for n, name in zip(entries, ("map_entries", "mined_entries", "seed_entries"), strict=True)]
+    pair = lambda kind: [F.round(f"{kind}_b", 4).alias(f"wer_before_{kind}"), F.round(f"{kind}_a", 4).alias(f"wer_after_{kind}"), F.round(F.col(f"{kind}_b") - F.col(f"{kind}_a"), 4).alias(f"improvement_{kind}")]
+    return made.select("target_samples", *sizes, *pair("mean"), *pair("median"), "fixed_count", "unchanged_count", "regressed_count")

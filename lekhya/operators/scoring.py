@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ BINS = (0.0, 0.3, 0.5, 1.0, 2.0, 5.0)
 
 
 def score(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose=text.nfc, normalize: bool = True) -> DataFrame:
-    """pairs with ref_norm, hyp_norm, ref_words, hyp_words, edits and wer."""
-    form = (lambda c: text.normalize_for_wer(c, compose)) if normalize else (lambda c: c)
+    """pairs with ref_norm, hyp_norm, ref_words, hyp_words, edits and wer. Without normalize, texts are composed and no more, as in training."""
+    form = (lambda c: text.normalize_for_wer(c, compose)) if normalize else compose
     out = once(pairs, ref_norm=form(F.col(reference)), hyp_norm=form(F.col(hypothesis)))
     out = once(out, _r=text.tokens(F.col("ref_norm")), _h=text.tokens(F.col("hyp_norm")))
     out = once(out, ref_words=F.size("_r"), hyp_words=F.size("_h"), edits=wer.word_edits(F.col("_r"), F.col("_h"))).drop("_r", "_h")
@@ -30,6 +31,15 @@ def corpus(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scored.groupBy(*by).agg(F.count_if(on).alias("n"), edits.cast("long").alias("edits"), words.cast("long").alias("ref_words"), F.coalesce(edits / F.nullif(words, F.lit(0)), F.lit(0.0)).alias("wer"))
 
 
+def model_table(runs: Sequence[tuple[str, str, DataFrame | None]]) -> DataFrame:
+    """place, model, dataset, n, edits, ref_words, wer: one row of each run (model, dataset, scored pairs), in the order of runs. None stands for an optional dataset that is not there."""
+    there = [(i, m, d, s) for i, (m, d, s) in enumerate(runs) if s is not None]
+    rows = [s.select(F.lit(i).cast("long").alias("place"), F.lit(m).alias("model"), F.lit(d).alias("dataset"), "edits", "ref_words") for i, m, d, s in there]
+    if not rows:
+        raise ValueError("no dataset to report on")
+    return corpus(reduce(DataFrame.unionByName, rows), ["place", "model", "dataset"])
+
+
 def macro(scored: DataFrame, column: str = "wer", by: Sequence[str] = ()) -> DataFrame:
     """Mean and median of the utterances' rates, and the upper median: of an even number, the larger of the middle two."""
     upper = F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")
@@ -59,3 +69,8 @@ def worst(scored: DataFrame, keys: Sequence[str], n: int = 20, width: int = 200)
 def batches(rows: DataFrame, keys: Sequence[str], size: int = 8) -> DataFrame:
     """rows with batch: contiguous batches in the order of keys, numbered by a range partitioning's counts rather than one global sort."""
     return number_rows(rows, keys).withColumn("batch", F.floor(F.col("row_no") / size)).drop("row_no", "group_rows")
+
+
+def head(rows: DataFrame, keys: Sequence[str], most: int | None) -> DataFrame:
+    """The first `most` rows in the order of keys, all of them for None: an evaluation of part of a dataset."""
+    return rows if most is None else rows.orderBy(*keys).limit(most)

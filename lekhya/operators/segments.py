@@ -25,15 +25,15 @@ def skip_reason(start: Column, end: Column, words: Column, samples: Column | Non
     return rules if samples is None else rules.when(~arrays.loud(samples), "near_silent")
 
 
-def build(recordings: DataFrame, transcripts: DataFrame, script: str = "devanagari") -> DataFrame:
+def build(recordings: DataFrame, transcripts: DataFrame, script: str = "devanagari", rate: int = lx.SAMPLE_RATE) -> DataFrame:
     """Manifest rows, with their skip_reason, of recordings(recording_id, samples) and transcripts(recording_id, segments).
 
     A recording without a transcript has no row. duration is that of the samples, which the
     end of the recording may cut; the rules see end minus start.
     """
     seg = recordings.join(transcripts, "recording_id").select("recording_id", "samples", F.posexplode("segments").alias("segment_idx", "s"))
-    seg = seg.select("recording_id", "segment_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), text.normalize_text(F.col("s.text")).alias("text"), F.col("s.speaker_id").alias("speaker_id"), arrays.time_slice(F.col("samples"), F.col("s.start"), F.col("s.end")).alias("samples"))
-    return seg.withColumns({"duration": F.round(F.size("samples") / lx.SAMPLE_RATE, 3), "skip_reason": skip_reason(F.col("start"), F.col("end"), F.col("text"), F.col("samples"), script)})
+    seg = seg.select("recording_id", "segment_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), text.normalize_text(F.col("s.text")).alias("text"), F.col("s.speaker_id").alias("speaker_id"), arrays.time_slice(F.col("samples"), F.col("s.start"), F.col("s.end"), rate).alias("samples"))
+    return seg.withColumns({"duration": F.round(F.size("samples") / rate, 3), "skip_reason": skip_reason(F.col("start"), F.col("end"), F.col("text"), F.col("samples"), script)})
 
 
 def reason_tally(marked: DataFrame) -> DataFrame:

@@ -37,6 +37,13 @@ def normalize_wer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", text.normalize_for_wer(F.col("text")).alias("norm"))
 
 
+@query
+def normalize_debug_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of spaces kept."""
+    spaced = F.replace(F.col("text"), F.lit(" "), F.lit("  "))
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.normalize_for_wer(spaced, single=False).alias("norm"))
+
+
 @query
 def script_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -65,6 +72,13 @@ def segment_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n_before", "n_after", "n_removed", *[F.round(c, 4).alias(c) for c in s.columns[3:]])
 
 
+@query
+def segment_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From recordings and transcripts, those without one left out, to segments and what becomes of each."""
+    s = segments.build(views.recordings(spark, sf_dir), views.transcripts(spark, sf_dir), "latin", views.RATE)
+    return s.select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), "text", "duration", "speaker_id", F.coalesce("skip_reason", F.lit("kept")).alias("reason"))
+
+
 @query
 def rms_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.samples(spark, sf_dir)
@@ -110,6 +124,29 @@ def corpus_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.corpus(_scored(spark, sf_dir), ["role"]).select("role", "n", "edits", "ref_words", F.round("wer", 6).alias("wer"))
 
 
+@query
+def raw_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of composed texts that are not normalised."""
+    scored = scoring.score(views.pair(spark, sf_dir), compose=text.nfc_native, normalize=False)
+    return scoring.corpus(scored, ["role"]).select("role", "n", "edits", "ref_words", F.round("wer", 6).alias("wer"))
+
+
+@query
+def wer_by_model_and_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models, one of which leaves out every word's last letter; two datasets, and one that is not there."""
+    pairs = views.pair(spark, sf_dir)
+    short = pairs.withColumn("hypothesis", F.regexp_replace("reference", r"\S(?= |$)", ""))
+    scored = {m: scoring.score(p, compose=text.nfc_native) for m, p in (("misheard", pairs), ("short", short))}
+    runs = [(m, d, None if d == "absent" else s.where(F.col("role") == d)) for m, s in scored.items() for d in ("user", "absent", "assistant")]
+    return scoring.model_table(runs).select("place", "model", "dataset", "n", "edits", "ref_words", F.round("wer", 6).alias("wer"))
+
+
+@query
+def head_of_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 turns: evaluating part of a dataset is the feature."""
+    return scoring.head(views.table(spark, sf_dir, "conversations"), KEYS, 50).select(*KEYS, "role")
+
+
 @query
 def document_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro average over whole documents, by source."""
@@ -216,21 +253,38 @@ def repair_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.merge(views.seed(spark), repair.mine(repair.substitution_pairs(views.substitutions(spark))))
 
 
+def _repairs(spark: SparkSession) -> DataFrame:
+    rows = [("thex", "the", "seed"), ("ofx", "of", "seed"), ("andx", "or", "mined"), ("isx", "is", "seed")]
+    return spark.createDataFrame(rows, "hyp string, ref string, source string")
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.evaluate(views.pair(spark, sf_dir), repair.as_literal(_repairs(spark)), text.nfc_native)
+
+
 @query
 def apply_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undoes the x that misheard words end in, for short words."""
-    table = F.map_from_arrays(F.array(F.lit("thex"), F.lit("ofx"), F.lit("andx"), F.lit("isx")), F.array(F.lit("the"), F.lit("of"), F.lit("or"), F.lit("is")))
-    e = repair.evaluate(views.pair(spark, sf_dir), table, text.nfc_native)
+    e = _repaired(spark, sf_dir)
     return e.select(*KEYS, "fixed", F.round("wer_before", 6).alias("wer_before"), F.round("wer_after", 6).alias("wer_after"), "outcome")
 
 
 @query
 def repair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = F.map_from_arrays(F.array(F.lit("thex"), F.lit("ofx"), F.lit("andx"), F.lit("isx")), F.array(F.lit("the"), F.lit("of"), F.lit("or"), F.lit("is")))
-    s = repair.summary(repair.evaluate(views.pair(spark, sf_dir), table, text.nfc_native))
+    s = repair.summary(_repaired(spark, sf_dir))
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean_before", "mean_after", "median_before", "median_after")], "improved", "unchanged", "regressed")
 
 
+@query
+def improved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.improved(_repaired(spark, sf_dir), KEYS).select(*KEYS, "before", "after", "wer_before", "wer_after")
+
+
+@query
+def fix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(_repaired(spark, sf_dir), _repairs(spark))
+
+
 @query
 def normalise_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.spoken(spark, sf_dir).select(*KEYS, numbers.normalise(F.col("hypothesis"))["text"].alias("digits"))
@@ -272,6 +326,18 @@ def cleanup_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned(spark, sf_dir).select(*KEYS, F.col("tags.text").alias("tagged"), "wer_before", "wer_hyp_only", "wer_both", "delta_naive", "delta_correct")
 
 
+@query
+def cleanup_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = cleanup.results(_cleaned(spark, sf_dir), KEYS)
+    return r.select(*KEYS, "raw_asr", "number_normalised", "final_tagged", F.array_join("english_words_detected", ",").alias("english_words"), "english_count", "wer_before", "wer_hyp_only", "wer_both_normalised", "wer_delta_naive", "wer_delta_correct")
+
+
+@query
+def idiom_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cleanup.edge_cases(_cleaned(spark, sf_dir), KEYS)
+    return e.select(*KEYS, "raw", "digits", F.array_join("idioms", ",").alias("idioms"))
+
+
 @query
 def number_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleanup.outcomes(_cleaned(spark, sf_dir))
@@ -293,6 +359,12 @@ def download_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.tally(views.table(spark, sf_dir, "pages"), F.startswith(F.col("url"), F.lit("https://")))
 
 
+@query
+def download_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "pages")
+    return readers.failures(pages, ["page_id"], F.startswith(F.col("url"), F.lit("https://")) & (F.col("page_id") % 3 > 0)).select("page_id", "url")
+
+
 @query
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get(views.words(F.col("text")), F.lit(0))

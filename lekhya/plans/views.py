@@ -55,6 +55,23 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("samples"))
 
 
+#: Samples a second of recordings().
+RATE = 2
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, samples): embeddings as recordings of RATE samples a second; one in four is near silent."""
+    faint = F.when(F.col("vec_id") % 4 == 1, 0.001).otherwise(1.0)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), F.transform("embedding", lambda x: x * faint).alias("samples"))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, segments): conversations, a turn every four seconds; one in five has none."""
+    start = F.col("turn") * 4.0
+    s = table(spark, sf_dir, "conversations").where("conv_id % 5 <> 2").select("conv_id", F.struct(start.alias("start"), (start + 0.5 + ((F.length("text") * 37) % 311) / 10.0).alias("end"), "text", F.col("turn").alias("speaker_id")).alias("s"))
+    return s.groupBy(F.col("conv_id").alias("recording_id")).agg(F.array_sort(F.collect_list("s")).alias("segments"))
+
+
 #: Words that stand for the words of turns in spoken(): numbers, a fraction, parts of idioms, loanwords bare and inflected, marks, others.
 SPOKEN = ["एक", "दो", "चौवन", "सौ", "हज़ार", "लाख", "साढ़े", "बार", "मिनट", "स्कूलों", "पच्चीस।", "(टॉपिक)", "वाले", "ग्यारह", "दस-बीस", "कम्प्यूटरिंग"]
 

@@ -38,8 +38,12 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path)
 
 
-def error_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Error samples as JSON lines; blank lines are skipped."""
+def error_samples(spark: SparkSession, path: str | None, demo: DataFrame | None = None) -> DataFrame:
+    """Error samples as JSON lines; blank lines are skipped. Without a path, the rows of demo."""
+    if path is None:
+        if demo is None:
+            raise ValueError("neither a path nor demonstration rows")
+        return demo
     return spark.read.schema(SAMPLES).json(path)
 
 
@@ -88,3 +92,9 @@ def missing(wanted: DataFrame, there: DataFrame, keys: Sequence[str]) -> DataFra
 
 def tally(results: DataFrame, ok: Column | str = "ok") -> DataFrame:
     return results.groupBy(F.col(ok).alias("ok") if isinstance(ok, str) else ok.alias("ok")).agg(F.count("*").alias("n"))
+
+
+def failures(results: DataFrame, keys: Sequence[str], ok: Column | str = "ok", most: int = 10) -> DataFrame:
+    """The first `most` failures in the order of keys; tally has how many there are."""
+    failed = results.where(~F.coalesce(F.col(ok) if isinstance(ok, str) else ok, F.lit(False)))
+    return failed.orderBy(*keys).limit(most)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.operators import cleanup, errors, numbers, repair
+
 
 def manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
@@ -36,3 +38,38 @@ def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
         raise ValueError(f"a report of over {most} rows: write it as a table")
     lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in got), ""])
+
+
+def fix_results(evaluated: DataFrame, table: DataFrame, keys: list[str], path: str) -> None:
+    """JSON of a repair: the summary in one file, a line for each sample in others, for there may be any number."""
+    rates = [F.round(c, 4).alias(c) for c in ("wer_before", "wer_after")]
+    samples = evaluated.select(*keys, F.col("ref_norm").alias("reference"), F.col("hyp_norm").alias("hypothesis"), F.col("fixed").alias("fixed_hypothesis"), *rates, "outcome")
+    json_rows(repair.report(evaluated, table), f"{path}/summary")
+    json_rows(samples, f"{path}/per_sample")
+
+
+def cleanup_results(cleaned: DataFrame, keys: list[str], path: str) -> None:
+    json_rows(cleanup.results(cleaned, keys), path)
+
+
+def cleanup_report(cleaned: DataFrame, keys: list[str], most: int = 1000) -> str:
+    """Markdown of a cleanup: numbers written as digits, idioms left alone, loanwords, rates before and after, outcomes."""
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    listed = lambda c: F.array_join(F.transform(c, code), ", ")
+    done = cleaned.withColumn("real", numbers.real(F.col("conversions"))).where(F.size("real") > 0)
+    each = done.select(*keys, F.explode("real").alias("c")).select(*keys, code(F.col("c.original")).alias("said"), code(F.col("c.converted")).alias("written"), F.col("c.value").alias("value"))
+    spared = cleanup.edge_cases(cleaned, keys).select(*keys, code(F.col("raw")).alias("input"), code(F.col("digits")).alias("output"), listed(F.col("idioms")).alias("idioms"))
+    tagged = cleaned.where("tags.n > 0").select(*keys, code(F.col("hyp")).alias("raw"), code(F.col("tags.text")).alias("tagged"), listed(F.col("tags.words")).alias("words"))
+    signed = lambda rate, delta: F.format_string("%.4f (%+.4f)", F.col(rate), F.col(delta))
+    rates = done.select(*keys, F.format_string("%.4f", "wer_before").alias("before"), signed("wer_hyp_only", "delta_naive").alias("hypothesis only"), signed("wer_both", "delta_correct").alias("both sides"))
+    parts = [("Numbers written as digits", each), ("Idioms left as they are", spared), ("Loanwords", tagged), ("Word error rates of rows with numbers", rates)]
+    return "\n".join(["# Cleanup", "", *(markdown(rows.orderBy(*keys), title, most) for title, rows in parts), markdown(cleanup.outcomes(cleaned).orderBy("outcome"), "Outcomes", most)])
+
+
+def taxonomy(classified: DataFrame, strata: DataFrame, keys: list[str], most: int = 1000) -> str:
+    """Markdown of the kinds of errors: how samples were drawn, shares, up to five examples of each kind, advice on the most frequent three."""
+    shares = errors.shares(classified).orderBy(F.desc("n"), "category").withColumn("share_pct", F.format_string("%.1f", "share_pct"))
+    shown = errors.examples(classified, ["wer", *keys]).withColumn("wer", F.format_string("%.4f", "wer"))
+    shown = shown.withColumn("why", errors.reason(F.col("hyp_norm"), F.col("word_errors"), F.col("category"))).orderBy("category", "place").select("category", *keys, F.col("ref_norm").alias("reference"), F.col("hyp_norm").alias("hypothesis"), "wer", "why")
+    parts = [("Sampling", strata), ("Shares", shares), ("Examples", shown), ("What to do first", errors.advice(classified))]
+    return "\n".join(["# Kinds of errors", "", *(markdown(rows, title, most) for title, rows in parts)])

@@ -201,3 +201,69 @@ def test_streams_score_as_batches_do(spark, tmp_path):
 def test_text_module_is_native_but_for_one_function(spark):
     plan = spark.createDataFrame([("a",)], "t string").select(text.normalize_for_wer(F.col("t"), text.nfc_native))._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_segments_of_every_fate(spark, tmp_path):
+    loud, faint = [0.1] * 40, [0.0001] * 40
+    recordings = spark.createDataFrame([(1, loud), (2, faint), (3, loud)], "recording_id long, samples array<double>")
+    said = [(0.0, 4.0, "one two  three four", 7), (4.0, 4.5, "one two three", 7), (30.0, 34.0, "after the end of it", 8), (1.0, 3.0, "...", 8)]
+    segs = spark.createDataFrame([(1, said), (2, said[:1])], f"recording_id long, segments {readers.SEGMENTS}")
+    got = {(r.recording_id, r.segment_idx): (r.skip_reason, r.duration, r.text) for r in segments.build(recordings, segs, "latin", 2).collect()}
+    assert got[1, 0] == (None, 4.0, "one two three four")
+    assert [got[k][0] for k in ((1, 1), (1, 2), (1, 3), (2, 0))] == ["too_short", "near_silent", "punctuation_only", "near_silent"]
+    assert len(got) == 5  # the third recording has no transcript
+
+
+def test_repair_report_and_files(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, "a b", "ax b"), (2, "c d", "c d"), (3, "ax b", "ax b"), (4, "q", "w")], "id int, reference string, hypothesis string")
+    table = spark.createDataFrame([("ax", "a", "mined"), ("zz", "z", "seed")], "hyp string, ref string, source string")
+    done = repair.evaluate(pairs, repair.as_literal(table))
+    assert [tuple(r) for r in repair.improved(done, ["id"]).collect()] == [(1, "a b", "ax b", "a b", 0.5, 0.0)]
+    got = repair.report(done, table).first().asDict()
+    assert got == {
+        "target_samples": 4, "map_entries": 2, "mined_entries": 1, "seed_entries": 1, "wer_before_mean": 0.375, "wer_after_mean": 0.375, "improvement_mean": 0.0,
+        "wer_before_median": 0.5, "wer_after_median": 0.5, "improvement_median": 0.0, "fixed_count": 1, "unchanged_count": 2, "regressed_count": 1,
+    }
+    writers.fix_results(done, table, ["id"], str(tmp_path / "fix"))
+    assert spark.read.json(str(tmp_path / "fix" / "summary")).first().fixed_count == 1
+    assert {r.id: r.outcome for r in spark.read.json(str(tmp_path / "fix" / "per_sample")).collect()} == {1: "improved", 2: "unchanged", 3: "regressed", 4: "unchanged"}
+
+
+def test_cleanup_results_and_report(spark, tmp_path):
+    rows = [(1, "मीटिंग में पच्चीस लोग", "मीटिंग में पच्चीस लोग"), (2, "घर में एक बार आना", "घर में एक बार आना"), (3, "कल", "कल")]
+    done = cleanup.run(spark.createDataFrame(rows, "id int, reference string, hypothesis string"))
+    assert [(r.id, r.idioms) for r in cleanup.edge_cases(done, ["id"]).collect()] == [(2, ["एक"])]
+    writers.cleanup_results(done, ["id"], str(tmp_path / "c"))
+    first = spark.read.json(str(tmp_path / "c")).where("id = 1").first()
+    assert (first.number_normalised, first.final_tagged, first.english_words_detected, first.wer_delta_naive) == ("मीटिंग में 25 लोग", "[EN]मीटिंग[/EN] में 25 लोग", ["मीटिंग"], 0.25)
+    told = writers.cleanup_report(done, ["id"])
+    for line in ("| 1 | `पच्चीस` | `25` | 25 |", "| 2 | `घर में एक बार आना` | `घर में एक बार आना` | `एक` |", "| 1 | 0.0000 | 0.2500 (+0.2500) | 0.0000 (+0.0000) |", "| unchanged | 1 |"):
+        assert line in told.splitlines()
+    assert "| 3 |" not in told
+
+
+def test_taxonomy_report(spark):
+    pairs = spark.createDataFrame([(i, "a b c d", "a b c x") for i in range(7)] + [(9, "p q r", "meeting q r")], "id int, reference string, hypothesis string")
+    scored = errors.align(scoring.score(pairs))
+    told = scored.withColumn("category", errors.category(F.col("ref_norm"), F.col("hyp_norm"), F.col("word_errors")))
+    lines = writers.taxonomy(told, spark.createDataFrame([("low", 7)], "stratum string, pool int"), ["id"]).splitlines()
+    assert "| low | 7 |" in lines and "| other | 8 | 100.0 |" in lines
+    assert sum(x.startswith("| other | ") and "confusion" in x for x in lines) == 5
+    assert any(x.startswith("| other | 8 | look for") for x in lines)
+
+
+def test_tables_of_models_heads_and_failures(spark):
+    pairs = spark.createDataFrame([(1, "a  b..", "a b"), (2, "c d", "c")], "id int, reference string, hypothesis string")
+    normal, raw = scoring.score(pairs), scoring.score(pairs, normalize=False)
+    got = scoring.model_table([("m", "y", normal), ("m", "absent", None), ("k", "y", raw)]).orderBy("place").collect()
+    assert [(r.place, r.model, r.edits, r.ref_words) for r in got] == [(0, "m", 1, 4), (2, "k", 2, 4)]
+    with pytest.raises(ValueError, match="no dataset"):
+        scoring.model_table([("m", "y", None)])
+    decomposed = spark.createDataFrame([("\u00e9", "e\u0301")], "reference string, hypothesis string")
+    assert scoring.score(decomposed, normalize=False).first().wer == 0
+    assert [r.id for r in scoring.head(pairs, ["id"], 1).collect()] == [1] and scoring.head(pairs, ["id"], None).count() == 2
+    results = spark.createDataFrame([(i, None if i == 3 else i % 2 == 0) for i in range(40)], "id int, ok boolean")
+    assert [r.id for r in readers.failures(results, ["id"]).collect()] == list(range(1, 20, 2))
+    assert readers.error_samples(spark, None, pairs) is pairs
+    shown = pairs.select(text.normalize_for_wer(F.col("reference"), single=False)).first()[0]
+    assert shown == "a  b"
