@@ -175,7 +175,7 @@ def tail(z):
     return q if z >= 0 else 1 - q
 
 
-def tests_of(value):
+def battery_of(value):
     """(encoding, n, p_random, p_natural) in plain Python."""
     core = value.rstrip("=")
     kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", core) else "base32" if re.fullmatch("[A-Z2-7]+", core) else "base64"
@@ -211,7 +211,7 @@ def test_battery_and_discoveries_against_plain_python(spark):
     values = [v for v in values if len(v.rstrip("=")) >= 20]
     df = spark.createDataFrame(list(enumerate(values)), "row long, value string")
     got = {r.row: r for r in S.battery(df).collect()}
-    want = [tests_of(v) for v in values]
+    want = [battery_of(v) for v in values]
     for i, (kind, n, p, q) in enumerate(want):
         assert (got[i].encoding, got[i].n) == (kind, n)
         assert math.isclose(got[i].p_random, p, rel_tol=1e-6, abs_tol=1e-12) and math.isclose(got[i].p_natural, q, rel_tol=1e-6, abs_tol=1e-12)
