@@ -98,8 +98,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return labels
 
 
-#: Nodes of a bucket that is compared in full at once; nodes of one side of a block of pairs; rounds that thin fuller buckets.
-FULL, BLOCK, THINNINGS = 16, 1024, 3
+#: Nodes of a bucket that is compared in full at once; nodes of one side of a block of pairs; rounds that thin fuller buckets, and the nodes that all others are compared with in each.
+FULL, BLOCK, THINNINGS, HUBS = 16, 1024, 3, 8
 
 
 def differ_little(a: str, b: str, similarity: float, lanes: int) -> Column:
@@ -117,9 +117,9 @@ def bucket_links(members: DataFrame, near: Callable[[str, str], Column], verify:
 
     members holds (key, node) once each and the columns of which near(x, y) makes a first test;
     verify keeps the similar pairs of a table (a, b), and writes them. Buckets of up to full
-    nodes are compared in full. In a fuller one all nodes are compared with its least node,
-    under an order of the key's own; those not joined to it go to a bucket of their own, and
-    so on for THINNINGS rounds. Nodes joined by then need no comparison among themselves. Every
+    nodes are compared in full. In a fuller one all nodes are compared with up to HUBS of
+    its nodes, the least of each slice under an order of the key's own; those not joined to the
+    least of all go to a bucket of their own, and so on for THINNINGS rounds. Nodes joined by then need no comparison among themselves. Every
     other pair with a node outside the least one's component is compared, in blocks of pairs
     that tasks share; only pairs that pass near become rows.
     """
@@ -132,7 +132,8 @@ def bucket_links(members: DataFrame, near: Callable[[str, str], Column], verify:
     for i in range(THINNINGS):
         small, large = left.where(F.col("n") <= full), left.where(F.col("n") > full)
         pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near("x", "y")).select(*ordered)
-        hubs = large.where("node = hub")
+        picked = large.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(HUBS))).agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("pick"))
+        hubs = large.join(picked.select(F.col("key").alias("k"), "pick"), (F.col("key") == F.col("k")) & (F.col("node") == F.col("pick"))).drop("k", "pick")
         stars = large.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near("x", "y")).select(*ordered)
         found.append(verify(keep(pairs.union(stars).distinct(), "pairs")))
         edges = reduce(DataFrame.union, found)
