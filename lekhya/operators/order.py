@@ -3,39 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the numbering: rows a range are sorted together.
-RANGES = 64
+from lekhya.stored import stored
 
+#: A table of so many range counts is broadcast; a larger one, of very many groups, is joined by a shuffle.
+BROADCAST_COUNTS = 1_000_000
+#: Bits that monotonically_increasing_id gives to the place of a row in its partition.
+PLACE_BITS = 33
 
-def number_rows(rows: DataFrame, keys: Sequence[str], by: Sequence[str] = (), ranges: int = RANGES, descending: bool = False) -> DataFrame:
+
+def ranged(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """rows stored in sorted ranges of the whole composite key order and their place in the input, with _range and _place, a row's place in its range."""
+    by = [F.asc(k) for k in (*order, "_nth")]
+    dealt = rows.withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = stored(dealt.drop("_nth").withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    split = {"_range": F.shiftright("_at", PLACE_BITS), "_place": F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}
+    return placed.withColumns(split).drop("_at")
+
+
+def number_rows(rows: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """rows with row_no, from 0 in the order of keys (nulls first) within each group of by, and group_rows, the group's size.
 
-    The first key is cut at approximate quantiles of its own; ranges are counted, counts
-    summed up, and rows ranked within their range, so a group of any size is shared by many
-    tasks. Non-numeric first keys are ranged by group only. keys must order rows fully.
+    Rows are dealt to ranges of the whole composite key, group and place in the input included,
+    at splitters that Spark samples: a group or a value of any number of rows is shared by many
+    tasks. The sorted ranges are written once; a row's number is its place in its range, less
+    that of its group's first row there, plus the group's rows in the ranges before. rows is
+    read twice, to sample and to deal: store what is costly to make. Rows equal in by and keys
+    are numbered in any order. An empty table stays empty.
     """
-    first = F.col(keys[0])
-    order = [F.desc(k) for k in keys] if descending else [F.asc(k) for k in keys]
-    numeric = dict(rows.dtypes)[keys[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double")
-    cuts: list[float] = []
-    if numeric:
-        got = rows.agg(F.percentile_approx(first, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first().q
-        cuts = sorted(set(got or []))
-    at = F.lit(0)
-    if cuts:
-        literal = F.array(*[F.lit(c) for c in cuts])
-        at = F.size(F.filter(literal, lambda c: c < first))
-        at = F.when(first.isNull(), -1).otherwise(at)
-    marked = rows.withColumn("_range", -at if descending else at)
-    counts = marked.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*by).orderBy("_range") if by else Window.orderBy("_range")
-    everything = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    starts = counts.withColumns({"_before": F.sum("_n").over(up) - F.col("_n"), "group_rows": F.sum("_n").over(everything)}).drop("_n")
-    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
-    on = [ranked["_range"].eqNullSafe(starts["_range"])] + [ranked[b].eqNullSafe(starts[b]) for b in by]
-    joined = ranked.join(starts, on)
-    return joined.select(*[ranked[c] for c in rows.columns], (F.col("_before") + F.col("_rank") - 1).cast("long").alias("row_no"), F.col("group_rows").cast("long").alias("group_rows"))
+    placed = ranged(rows, [*by, *keys])
+    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    own = Window.partitionBy(*by) if by else Window.partitionBy()
+    facts = counts.withColumns({"_before": F.sum("_n").over(own.orderBy("_range")) - F.col("_n"), "group_rows": F.sum("_n").over(own)}).drop("_n")
+    facts = stored(facts.withColumnsRenamed({c: f"_{i}_by" for i, c in enumerate((*by, "_range"))}), "range-counts")
+    if facts.count() <= BROADCAST_COUNTS:
+        facts = F.broadcast(facts)
+    same = reduce(Column.__and__, [placed[c].eqNullSafe(facts[f"_{i}_by"]) for i, c in enumerate((*by, "_range"))])
+    number = (F.col("_place") - F.col("_first") + F.col("_before")).cast("long")
+    return placed.join(facts, same).select(*[placed[c] for c in rows.columns], number.alias("row_no"), F.col("group_rows").cast("long").alias("group_rows"))

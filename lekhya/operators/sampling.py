@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.functions.once import once
 from lekhya.operators.order import number_rows
 from lekhya.stored import stored
 
@@ -30,20 +29,23 @@ def every_nth(numbered: DataFrame, draw) -> DataFrame:
 
 
 def stratified(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Errors (wer > 0) by stratum, evenly spaced over each stratum's rates; ties by key."""
-    errors = once(scored.where("wer > 0"), stratum=stratum())
+    """Errors (wer > 0) by stratum, evenly spaced over each stratum's rates; ties by key. Rows are scored once, and their errors stored."""
+    return _drawn(stored(scored.where("wer > 0"), "errors"), keys)
+
+
+def _drawn(errors: DataFrame, keys: Sequence[str]) -> DataFrame:
     draw = F.when(F.col("stratum") == "low", STRATA["low"]).when(F.col("stratum") == "medium", STRATA["medium"]).otherwise(STRATA["high"])
-    return every_nth(number_rows(errors, ["wer", *keys], ["stratum"]), draw)
+    return every_nth(number_rows(errors.withColumn("stratum", stratum()), ["wer", *keys], ["stratum"]), draw)
 
 
 def filled(scored: DataFrame, keys: Sequence[str], target: int = TARGET) -> DataFrame:
     """The stratified sample, filled up to target with evenly spaced errors not yet drawn, in the order low, medium, high, fill; at most target rows."""
-    scored = stored(scored.where("wer > 0"), "errors")
-    first = stratified(scored, keys)
+    pool = stored(scored.where("wer > 0"), "errors")
+    first = stored(_drawn(pool, keys), "drawn")
     missing = target - first.count()
     order = F.when(F.col("stratum") == "low", 0).when(F.col("stratum") == "medium", 1).when(F.col("stratum") == "high", 2).otherwise(3)
     if missing > 0:
-        rest = scored.join(first.select(*keys), list(keys), "left_anti").withColumn("stratum", F.lit("fill"))
+        rest = pool.join(F.broadcast(first.select(*keys)), list(keys), "left_anti").withColumn("stratum", F.lit("fill"))
         first = first.unionByName(every_nth(number_rows(rest, ["wer", *keys], ["stratum"]), F.lit(missing)))
     return first.withColumn("stage", order).orderBy("stage", "wer", *keys).limit(target)
 

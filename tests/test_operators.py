@@ -102,6 +102,22 @@ def test_row_numbers(spark):
         assert [got[r[2]] for r in own] == [(i, len(own)) for i in range(len(own))]
 
 
+def test_no_range_holds_a_popular_value_alone(spark):
+    """Nine rows in ten share one rate, and half of those a key: no range has over twice its share."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 20_000, 1, 8).selectExpr("if(id % 10 = 0, id / 20000, 1.0) as wer", "if(id % 2 = 0, 7, id) as k")
+        sizes = [r["count"] for r in order.ranged(df, ["wer", "k"]).groupBy("_range").count().collect()]
+        assert len(sizes) == 16 and max(sizes) <= 2 * 20_000 / 16
+        assert sorted(r.row_no for r in order.number_rows(df, ["wer", "k"]).collect()) == list(range(20_000))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_sampling_counts_of_a_known_run(spark):
     """Pools of 2, 343 and 40 errors give steps 1, 34 and 4 and draws 2, 10 and 10; three more fill 25."""
     rates = [0.0] + [0.1 + i / 100 for i in range(2)] + [0.3 + i * 0.7 / 342 for i in range(343)] + [1.1 + i / 10 for i in range(40)]
