@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import decontaminate, line_dedup, lm_score, matroska, mixing, quality, secrets, simhash_dedup, url_filter, warc
+from lekhya.llm import decontaminate, line_dedup, lm_score, matroska, merkle, mixing, quality, secrets, simhash_dedup, url_filter, warc
 from lekhya.llm.common import keep
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -70,6 +70,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document."""
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_dictionary": op8_warc_dictionary,
     "op9_matroska_media": op9_matroska_media,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _OP3 = r"""
@@ -138,4 +144,47 @@ select page_id, n::bigint as payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
 from bits
 """
-ORACLES: dict[str, str] = {"op3_url_filter": _OP3, "op6_source_mixing": _OP6, "op8_warc_dictionary": _OP8}
+
+#: CRC-32 of a decimal number: a fold over its digits, eight shifts each, with the reversed polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all({x}, '.'), lambda c: ascii(c)::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384::bigint))), 4294967295::bigint)"
+
+
+def _climb(name: str, heights: int) -> str:
+    """Steps of a tree with up to 16 ** heights leaves, from {name}0(tree, pos, n, digest): {name}k has the nodes of height k, {name}p the sides of each leaf on its way up."""
+    cell = lambda k: f"select tree, pos, n, digest, coalesce(string_agg(digest, '') over (run rows between unbounded preceding and 1 preceding), '') as l, coalesce(string_agg(digest, '') over (run rows between 1 following and unbounded following), '') as r from {name}{k} where n > 1 window run as (partition by tree, pos // 16 order by pos)"
+    steps = [f"{name}{k + 1} as (select tree, pos // 16 as pos, any_value((n + 15) // 16) as n, sha256(string_agg(digest, '' order by pos)) as digest from {name}{k} where n > 1 group by tree, pos // 16)" for k in range(heights)]
+    steps += [f"{name}s{k} as ({cell(k)})" for k in range(heights)]
+    sides = ", ".join(f"s{k}.l as l{k}, s{k}.r as r{k}" for k in range(heights))
+    joins = " ".join(f"left join {name}s{k} s{k} on s{k}.tree = o.tree and s{k}.pos = o.pos // {16**k}" for k in range(heights))
+    steps.append(f"{name}root as ({' union all '.join(f'select tree, digest from {name}{k} where n = 1' for k in range(heights + 1))})")
+    steps.append(f"{name}p as (select o.tree, o.pos, {sides} from {name}0 o {joins})")
+    return ",\n".join(steps)
+
+
+def _op11(heights: int = 6, top: int = 3) -> str:
+    """Up to 16 ** heights leaves a source and 16 ** top sources."""
+    part = lambda x: f"coalesce(octet_length(encode({x}::varchar))::varchar || ':' || {x}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ways = [("a", k) for k in range(heights)] + [("b", k) for k in range(top)]
+    folds, x = [], "start"
+    for i, (t, k) in enumerate(ways):
+        folds.append(f"f{i} as (select *, case when {t}l{k} is null then {x} else sha256({t}l{k} || {x} || {t}r{k}) end as x{i} from {f'f{i - 1}' if i else 'way'})")
+        x = f"x{i}"
+    siblings = " || ".join(f"coalesce({t}l{k} || {t}r{k}, '')" for t, k in ways)
+    names = lambda t, n: ", ".join(f"{t}p.{c}{k} as {t}{c}{k}" for k in range(n) for c in "lr")
+    return f"""
+with own as (select doc_id, coalesce('=' || source, '-') as tree, {leaf("text")} as leaf, case when {_CRC.format(x="doc_id::varchar")} % 5 = 0 then {leaf(low)} end as other from documents),
+placed as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from own),
+a0 as (select tree, pos, n, leaf as digest from placed),
+{_climb("a", heights)},
+b0 as (select '' as tree, row_number() over (order by encode(tree)) - 1 as pos, count(*) over () as n, digest, tree as of from aroot),
+{_climb("b", top)},
+way as (select doc_id, leaf, coalesce(other, leaf) as start, b0.digest as subroot, broot.digest as root, {names("a", heights)}, {names("b", top)}
+  from placed join ap using (tree, pos) join b0 on b0.of = placed.tree join bp on bp.pos = b0.pos cross join broot),
+{", ".join(folds)}
+select doc_id, leaf, subroot, root, sha256({siblings}) as proof_sha256, {x} as folded_root, {x} = root as verified from f{len(ways) - 1}
+"""
+
+
+ORACLES: dict[str, str] = {"op3_url_filter": _OP3, "op6_source_mixing": _OP6, "op8_warc_dictionary": _OP8, "op11_merkle_manifest": _op11()}
