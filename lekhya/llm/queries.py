@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import decontaminate, line_dedup, lm_score, matroska, merkle, mixing, quality, secrets, simhash_dedup, url_filter, warc
+from lekhya.llm import crc_resampling, decontaminate, line_dedup, lm_score, matroska, merkle, mixing, quality, repetition, secrets, simhash_dedup, url_filter, warc
 from lekhya.llm.common import keep
 
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -75,6 +75,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts, and the rank of those drawn."""
+    out = crc_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document, with the rules that it breaks."""
+    out = repetition.judge(_table(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*base, F.array_join("broken", ",").alias("broken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -87,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_matroska_media": op9_matroska_media,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_repetition_rules": op13_repetition_rules,
 }
 
 _OP3 = r"""
@@ -187,4 +202,23 @@ select doc_id, leaf, subroot, root, sha256({siblings}) as proof_sha256, {x} as f
 """
 
 
-ORACLES: dict[str, str] = {"op3_url_filter": _OP3, "op6_source_mixing": _OP6, "op8_warc_dictionary": _OP8, "op11_merkle_manifest": _op11()}
+_OP12 = r"""
+with recursive crc_table as (select list(v order by i) as tab from (select i, list_reduce(list_prepend(i, range(0, 8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::bigint)) as v from range(0, 256) t(i))),
+texts as (select 'd' as kind, row_number() over () as nth, doc_id, text from documents union all select 'b', row_number() over (), null, text from benchmark),
+split as (select kind, nth, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+runs as (select kind, nth, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f from split),
+counted as (select kind, nth, f, count(*) as n from runs group by all),
+hashed as (select f, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295::bigint) % 10000 as bucket
+  from (select distinct f from counted), crc_table),
+sums as (select bucket, coalesce(sum(n) filter (kind = 'd'), 0)::double as s, coalesce(sum(n) filter (kind = 'b'), 0)::double as t from counted join hashed using (f) group by bucket),
+total as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from sums),
+gain as (select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint as gain from sums, total),
+weights as (select nth, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from counted join hashed using (f) join gain using (bucket) where kind = 'd' group by nth),
+scored as (select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from split left join weights using (nth) where kind = 'd'),
+placed as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features) as place, count(*) over (partition by n_words >= 20) as total from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * total // 100 then place end as rank from placed
+"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": _OP3, "op6_source_mixing": _OP6, "op8_warc_dictionary": _OP8, "op11_merkle_manifest": _op11(), "op12_target_resampling": _OP12}
