@@ -15,12 +15,27 @@ from lekhya.operators.order import number_rows
 BINS = (0.0, 0.3, 0.5, 1.0, 2.0, 5.0)
 
 
-def score(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose=text.nfc, normalize: bool = True) -> DataFrame:
-    """pairs with ref_norm, hyp_norm, ref_words, hyp_words, edits and wer. Without normalize, texts are composed and no more, as in training."""
+#: Differing words of a side from which on a pair is long.
+LONG = 1000
+
+
+def score(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose=text.nfc, normalize: bool = True, long_texts: bool = False) -> DataFrame:
+    """pairs with ref_norm, hyp_norm, ref_words, hyp_words, edits and wer. Without normalize, texts are composed and no more, as in training.
+
+    With long_texts, pairs that differ in over LONG words are scored by an Arrow function, whose
+    cost hardly grows with the square of the length; results are the same.
+    """
     form = (lambda c: text.normalize_for_wer(c, compose)) if normalize else compose
     out = once(pairs, ref_norm=form(F.col(reference)), hyp_norm=form(F.col(hypothesis)))
     out = once(out, _r=text.tokens(F.col("ref_norm")), _h=text.tokens(F.col("hyp_norm")))
-    out = once(out, ref_words=F.size("_r"), hyp_words=F.size("_h"), edits=wer.word_edits(F.col("_r"), F.col("_h"))).drop("_r", "_h")
+    sizes = {"ref_words": F.size("_r"), "hyp_words": F.size("_h")}
+    if long_texts:
+        out = once(out, **sizes, _u=wer.unlike(F.col("_r"), F.col("_h"))).drop("_r", "_h")
+        long = F.greatest(F.size("_u.r"), F.size("_u.h")) > LONG
+        out = out.withColumn("_long", wer.long_edits(F.when(long, F.col("_u.r")), F.when(long, F.col("_u.h"))))
+        out = once(out, edits=F.when(long, F.col("_long")).otherwise(wer.unlike_edits(F.col("_u")))).drop("_u", "_long")
+    else:
+        out = once(out, **sizes, edits=wer.word_edits(F.col("_r"), F.col("_h"))).drop("_r", "_h")
     return out.withColumn("wer", wer.wer(F.col("edits"), F.col("ref_words")))
 
 

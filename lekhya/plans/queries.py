@@ -150,7 +150,7 @@ def head_of_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro average over whole documents, by source."""
-    s = scoring.score(views.docpair(spark, sf_dir).repartition("doc_id", "reference"), compose=text.nfc_native)
+    s = scoring.score(views.docpair(spark, sf_dir).repartition("doc_id", "reference"), compose=text.nfc_native, long_texts=True)
     return scoring.corpus(s, ["source"]).select("source", "n", "edits", "ref_words", F.round("wer", 6).alias("wer"))
 
 

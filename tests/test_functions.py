@@ -2,11 +2,11 @@ from __future__ import annotations
 
 import random
 import unicodedata
-from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lekhya.functions import arrays, text, wer
+from lekhya.functions import arrays, blocks, text, wer
 
 
 def column(spark, rows, f, kind="string"):
@@ -58,22 +58,77 @@ def levenshtein(r, h):
     return row[-1]
 
 
-def test_word_edits_and_alignment(spark):
+def test_word_edits(spark):
     rng = random.Random(2)
     pairs = [([rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))], [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))]) for _ in range(150)]
     pairs += [(x, list(x)) for x, _ in pairs[:10]] + [([str(i) for i in range(3000)], [str(i) for i in range(1, 3000)]), (["a"] * 300, ["a", "b"] * 150)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r array<string>, h array<string>").repartition(3)
-    got = {r.i: r for r in df.select("i", wer.word_edits(F.col("r"), F.col("h")).alias("n"), wer.word_errors("r", "h").alias("e")).collect()}
+    got = {r.i: r for r in df.select("i", wer.word_edits(F.col("r"), F.col("h")).alias("n")).collect()}
     for i, (r, h) in enumerate(pairs):
         if len(r) <= 300:
             assert got[i].n == levenshtein(r, h)
-        back, at = [], 0
-        subs = {e.ref_pos: e for e in got[i].e if e.ref_pos is not None}
-        assert all(r[p] == e.ref for p, e in subs.items())
-        matched = SequenceMatcher(None, r, h).get_matching_blocks()
-        assert len(r) - sum(m.size for m in matched) == len(subs)
-        assert len(h) - sum(m.size for m in matched) == sum(e.hyp_pos is not None for e in got[i].e)
-        del back, at
+
+
+def by_definition(r, h):
+    """The errors, by looking for the longest block in plain loops."""
+    popular = {w for w in h if len(h) >= 200 and h.count(w) > len(h) // 100 + 1}
+    blocks = []
+
+    def look(a, b, c, d):
+        best = (0, a, c)
+        for i in range(a, b):
+            for j in range(c, d):
+                k = 0
+                while i + k < b and j + k < d and r[i + k] == h[j + k] and h[j + k] not in popular:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        while i > a and j > c and r[i - 1] == h[j - 1]:
+            i, j, k = i - 1, j - 1, k + 1
+        while i + k < b and j + k < d and r[i + k] == h[j + k]:
+            k += 1
+        if k:
+            look(a, i, c, j)
+            blocks.append((i, j, k))
+            look(i + k, b, j + k, d)
+
+    look(0, len(r), 0, len(h))
+    out, a, c = [], 0, 0
+    for i, j, k in [*blocks, (len(r), len(h), 0)]:
+        for t in range(max(i - a, j - c)):
+            x, y = (a + t if a + t < i else None), (c + t if c + t < j else None)
+            out.append(("insertion" if x is None else "deletion" if y is None else "substitution", "" if x is None else r[x], "" if y is None else h[y], x, y))
+        a, c = i + k, j + k
+    return out
+
+
+def test_alignment_follows_its_definition(spark):
+    """Random pairs, equal and empty sides, popular words of long hypotheses, nulls; all in one batch and in small ones."""
+    rng = random.Random(12)
+    some = lambda letters, n: [rng.choice(letters) for _ in range(n)]
+    pairs = [(some("abcdefgh", rng.randint(0, 40)), some("abcdefgh", rng.randint(0, 40))) for _ in range(120)]
+    pairs += [(some("ab", rng.randint(0, 30)), some("ab", rng.randint(0, 30))) for _ in range(60)] + [([], []), (["a"], []), ([], ["b"]), (["a b"], ["a", "b"]), (["é"], ["é"])]
+    for _ in range(8):  # popular words, alone in a window too
+        base = [w for i in range(110) for w in ("the", "of" if i % 3 else f"w{i}")]
+        pairs.append((base, [w for w in base if rng.random() > 0.1] + some(["the", "x"], rng.randint(0, 9))))
+        pairs.append((some(["the", "of", "q"], 60), some(["the", "of", "z"], rng.choice([199, 200, 230]))))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate([*pairs, (None, ["a"]), (["a"], None)])], "i int, r array<string>, h array<string>")
+    for parts in (1, 7):
+        got = {x.i: x.e for x in df.repartition(parts).select("i", wer.word_errors("r", "h").alias("e")).collect()}
+        assert got[len(pairs)] is None and got[len(pairs) + 1] is None
+        for i, (r, h) in enumerate(pairs):
+            assert [tuple(e) for e in got[i]] == by_definition(r, h), (r, h)
+    rate = df.where("size(r) > 0").select("i", wer.block_wer(wer.word_errors("r", "h"), F.size("r")).alias("b"), (wer.word_edits(F.col("r"), F.col("h")) / F.size("r")).alias("w")).collect()
+    assert all(x.b >= x.w for x in rate if x.b is not None) and any(x.b > x.w for x in rate if x.b is not None)
+
+
+def test_alignment_of_many_matches_goes_in_pieces(monkeypatch):
+    rng = random.Random(13)
+    pairs = [([rng.choice("abc") for _ in range(50)], [rng.choice("abc") for _ in range(50)]) for _ in range(20)]
+    monkeypatch.setattr(blocks, "MATCHES", 1000)
+    got = blocks.errors(pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])).to_pylist()
+    assert [[tuple(e.values()) for e in g] for g in got] == [by_definition(*p) for p in pairs]
 
 
 def test_samples(spark):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,8 +40,33 @@ def test_edits_of_many_distinct_words(spark):
     df = spark.createDataFrame([(ref, hyp), (ref, ref[::-1]), ([], ["a"])], "r array<string>, h array<string>")
     got = [r.e for r in df.select(wer.word_edits(F.col("r"), F.col("h")).alias("e")).collect()]
     assert got[0] == 8 and got[1] >= 2990 and got[2] == 1
-    letters = spark.range(60_000).select(wer.letter(F.col("id")).alias("c")).distinct()
-    assert letters.count() == 60_000 and letters.where(F.length("c") != 1).count() == 0
+    text = spark.range(1).select(wer._spelled(F.sequence(F.lit(0), F.lit(70_000))).alias("c")).first().c
+    assert len(text) == len(set(text)) == 70_001
+
+
+def test_edits_of_very_long_texts(spark):
+    """100,000 words with 40 edits: planted ones are 40 at most, and none fewer, as each changes a word that occurs once."""
+    rng = random.Random(4)
+    ref = [f"w{i}" for i in range(100_000)]
+    at = rng.sample(range(0, 100_000, 50), 40)
+    hyp = [w for i, w in enumerate(ref) for w in ([w + "x"] if i in at[:20] else [] if i in at[20:30] else [w, "uh"] if i in at[30:] else [w])]
+    df = spark.createDataFrame([(" ".join(ref), " ".join(hyp)), ("a b", "a c"), ("", "a"), ("a", None)], "reference string, hypothesis string")
+    began = time.time()
+    assert [r.edits for r in scoring.score(df, long_texts=True).collect()] == [40, 1, 1, None] and time.time() - began < 30
+
+
+def test_edits_of_long_texts_agree(spark, monkeypatch):
+    """The Arrow function against the JVM, short pairs and long ones, few edits and many."""
+    rng = random.Random(5)
+    rows = []
+    for n in (0, 1, 5, 30, 200, 700):
+        for share in (0.01, 0.3, 0.9):
+            ref = [f"w{rng.randrange(1 + n // rng.choice([2, 20]))}" for _ in range(n)]
+            rows.append((" ".join(ref), " ".join(rng.choice([w, "x", "", w + " y"]) if rng.random() < share else w for w in ref)))
+    df = spark.createDataFrame(rows, "reference string, hypothesis string")
+    plain = [r.edits for r in scoring.score(df).collect()]
+    monkeypatch.setattr(scoring, "LONG", 0)
+    assert [r.edits for r in scoring.score(df, long_texts=True).collect()] == plain
 
 
 def test_repeats(spark):
