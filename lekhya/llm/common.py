@@ -119,9 +119,10 @@ def bucket_links(members: DataFrame, near: Callable[[str, str], Column], verify:
     verify keeps the similar pairs of a table (a, b), and writes them. Buckets of up to full
     nodes are compared in full. In a fuller one all nodes are compared with up to HUBS of
     its nodes, the least of each slice under an order of the key's own; those not joined to the
-    least of all go to a bucket of their own, and so on for THINNINGS rounds. Nodes joined by then need no comparison among themselves. Every
-    other pair with a node outside the least one's component is compared, in blocks of pairs
-    that tasks share; only pairs that pass near become rows.
+    least of all go to a bucket of their own, and so on until no full one is left, for THINNINGS
+    rounds at most. Nodes of one component by then need no comparison among themselves. In every
+    bucket that was fuller at first, each other pair with a node outside the least one's component
+    is compared, in blocks of pairs that tasks share; only pairs that pass near become rows.
     """
     turn = F.xxhash64("key")
     stats = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("hub"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
@@ -138,7 +139,9 @@ def bucket_links(members: DataFrame, near: Callable[[str, str], Column], verify:
         found.append(verify(keep(pairs.union(stars).distinct(), "pairs")))
         edges = reduce(DataFrame.union, found)
         if large.isEmpty():
-            return edges
+            if not i:  # there was no fuller bucket
+                return edges
+            break
         rooted = keep(_rooted(large, edges), "rooted")
         rest = rooted.where("root <> home").drop("root", "home", "n", "hub").withColumn("key", F.xxhash64("key", F.lit(i)))
         turned = rest.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("hub"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")

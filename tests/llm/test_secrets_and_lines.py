@@ -231,3 +231,22 @@ def test_many_matches_cost_their_number(spark):
     got = S.digest(S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
     assert got.n_assign == 30_000 and got.base_sha256 == hashlib.sha256(base(text).encode()).hexdigest()
     assert time.time() - began < 60
+
+
+def test_lines_of_one_mutated_family_are_one_class(spark):
+    """Lines that each change one end of an earlier one share full buckets; brute force over all pairs gives the classes."""
+    rng = random.Random(41)
+    lines = [prose(rng, 40)]
+    while len(lines) < 175:
+        words = rng.choice(lines[-25:] if len(lines) < 150 else lines[:25]).split()
+        words[rng.choice([0, 1, -1, -2, 20])] = prose(rng, 1)
+        lines.append(" ".join(words))
+    sets = [{x[i : i + 10] for i in range(max(1, len(x) - 9))} for x in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    out = D.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3))
+    assert out.where("size(removed) = 0").count() == len(set(root))

@@ -3,11 +3,12 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lekhya.llm import simhash_dedup as S
-from lekhya.llm.common import connected_components
+from lekhya.llm.common import bucket_links, connected_components, keep
 from tests.llm.conftest import SCHEMA, lower, prose
 from tests.llm.test_textbytes import WORD
 
@@ -107,3 +108,53 @@ def test_near_copies_in_full_mixed_buckets_meet(spark):
 def test_empty(no_docs):
     assert S.near_duplicates(no_docs).count() == 0
     assert S.similar_components(no_docs).where(F.col("id") > 0).count() == 0
+
+
+def test_tails_of_a_hub_component_meet(spark):
+    """One bucket: 25 similar nodes, and 12 more each similar to one of them that is no hub's pick; all are one component."""
+    nodes = list(range(1, 38))
+    similar = {(a, b) for a in range(1, 26) for b in range(a + 1, 26)} | {(25 - k, 26 + k) for k in range(12)}
+    table = spark.createDataFrame(sorted(similar), "p long, q long")
+    members = spark.createDataFrame([(7, n) for n in nodes], "key long, node long")
+    verify = lambda e: keep(e.join(table, (e.a == table.p) & (e.b == table.q)).select("a", "b"), "verified")
+    edges = bucket_links(members, lambda x, y: F.lit(True), verify)
+    assert {(r.a, r.b) for r in edges.collect()} <= similar
+    roots = {r.node: r.root for r in connected_components(edges).collect()}
+    assert len(roots) == 37 and len(set(roots.values())) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_buckets_of_any_shape_keep_their_components(spark, seed):
+    """Random graphs within full buckets, chains, stars and cliques: links join what all similar pairs of a bucket join."""
+    rng = random.Random(seed)
+    members, similar, n = [], set(), 0
+    for key in range(12):
+        own = list(range(n, n + rng.choice([2, 16, 17, 40, 90])))
+        n = own[-1] + 1
+        members += [(key, v) for v in own]
+        shape = key % 4
+        if shape == 0:
+            similar |= set(zip(own, own[1:]))
+        elif shape == 1:
+            similar |= {(own[0], v) for v in own[1:]}
+        elif shape == 2:
+            similar |= {(u, v) for u in own for v in own if u < v and rng.random() < 1.5 / len(own)}
+        else:
+            half = own[: len(own) // 2]
+            similar |= {(u, v) for u in half for v in half if u < v} | {(rng.choice(half), v) for v in own[len(half) :]}
+    similar = {(min(p), max(p)) for p in similar if p[0] != p[1]}
+    table = keep(spark.createDataFrame(sorted(similar), "p long, q long"), "table")
+    verify = lambda e: keep(e.join(table, (e.a == table.p) & (e.b == table.q)).select("a", "b"), "verified")
+    edges = bucket_links(spark.createDataFrame(members, "key long, node long"), lambda x, y: F.lit(True), verify)
+    root = {v: v for v in range(n)}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in similar:
+        root[find(a)] = find(b)
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    pairs = lambda of: {frozenset(v for v in range(n) if of(v) == of(u)) for u in range(n)}
+    assert pairs(find) == pairs(lambda v: got.get(v, v))
