@@ -105,9 +105,21 @@ def rewrite_prefix(url: Column, old: str, new: str) -> Column:
     return F.when(F.startswith(url, F.lit(old)), F.concat(F.lit(new), F.substring(url, len(old) + 1, 1 << 30))).otherwise(url)
 
 
+def tallies(words: Column) -> Column:
+    """(word, n, first) of each distinct word: how often it occurs, and where first. Words are sorted with their places, and cut into runs of equal ones."""
+
+    def counted(s: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, F.greatest(i - 1, F.lit(0)))["w"])
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), new)
+        entry = lambda hs, at, k: F.struct(F.get(s, at)["w"].alias("word"), (F.coalesce(F.get(hs, k + 1), F.size(s)) - at).alias("n"), F.get(s, at)["i"].alias("first"))
+        return F.when(F.size(s) > 0, let(heads, lambda hs: F.transform(hs, lambda at, k: entry(hs, at, k))))
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), counted)
+
+
 def most_repeats(words: Column) -> Column:
     """How often the most frequent word occurs; 0 of none."""
-    return F.coalesce(let(words, lambda ws: F.array_max(F.transform(F.array_distinct(ws), lambda w: F.size(F.filter(ws, lambda x: x == w))))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(tallies(words), lambda t: t["n"])), F.lit(0))
 
 
 def repeats(words: Column, least: int) -> Column:
@@ -118,13 +130,8 @@ def repeats(words: Column, least: int) -> Column:
 
 def most_frequent(words: Column) -> Column:
     """(word, n) of the most frequent word, the first seen of equals; null of none."""
-
-    def best(ws: Column) -> Column:
-        counted = F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("word"), F.size(F.filter(ws, lambda x: x == w)).alias("n")))
-        first = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"))
-        return F.when(F.size(ws) > 0, F.aggregate(counted, first, lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a)))
-
-    return let(words, best)
+    ranked = F.transform(tallies(words), lambda t: F.struct(t["n"].alias("n"), (-t["first"]).alias("last"), t["word"].alias("word")))
+    return let(F.array_max(ranked), lambda t: F.when(t.isNotNull(), F.struct(t["word"].alias("word"), t["n"].alias("n"))))
 
 
 def collapse_repeats(text: Column, least: int = lx.REPAIR_REPEATS) -> Column:

@@ -21,9 +21,10 @@ def run(pairs: DataFrame, compose=text.nfc) -> DataFrame:
     out = once(pairs, ref=text.normalize_for_wer(F.col("reference"), compose), hyp=text.normalize_for_wer(F.col("hypothesis"), compose))
     out = once(out, _nr=numbers.normalise(F.col("ref")), _nh=numbers.normalise(F.col("hyp")))
     out = once(out, ref_digits=text.normalize_for_wer(F.col("_nr.text"), text.nfc_native), hyp_digits=text.normalize_for_wer(F.col("_nh.text"), text.nfc_native), conversions=F.col("_nh.conversions"))
-    out = once(out, tags=loanwords.tag(F.col("hyp_digits")))
-    rate = lambda a, b: F.round(wer.wer(wer.word_edits(text.tokens(F.col(a)), text.tokens(F.col(b))), F.size(text.tokens(F.col(a)))), 4)
-    out = once(out, wer_before=rate("ref", "hyp"), wer_hyp_only=rate("ref", "hyp_digits"), wer_both=rate("ref_digits", "hyp_digits")).drop("_nr", "_nh")
+    words = {f"_{c}": text.tokens(F.col(c)) for c in ("ref", "hyp", "ref_digits", "hyp_digits")}
+    rate = lambda a, b: F.round(wer.wer(wer.word_edits(F.col(a), F.col(b)), F.size(a)), 4)
+    out = once(out, tags=loanwords.tag(F.col("hyp_digits")), **words)
+    out = once(out, wer_before=rate("_ref", "_hyp"), wer_hyp_only=rate("_ref", "_hyp_digits"), wer_both=rate("_ref_digits", "_hyp_digits")).drop("_nr", "_nh", *words)
     return out.withColumns({"delta_naive": F.round(F.col("wer_hyp_only") - F.col("wer_before"), 4), "delta_correct": F.round(F.col("wer_both") - F.col("wer_before"), 4)})
 
 

@@ -7,8 +7,6 @@ treated together, and each cut is rewritten on its own.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,16 +48,24 @@ def normalise(sentence: Column) -> Column:
 
 
 def _rewritten(raw: Column, clean: Column) -> Column:
-    known = F.array(*[F.lit(w) for w in [*lx.UNITS, *lx.TENS, *lx.MULTIPLIERS]])
-    fractions = F.array(*[F.lit(w) for w in lx.FRACTIONS])
+    known = [*lx.UNITS, *lx.TENS, *lx.MULTIPLIERS]
+
+    any_idiom = "|".join(f"(?:{p})" for p in lx.IDIOMS)
 
     def in_idiom(i: Column) -> Column:
-        near = F.array_join(F.slice(raw, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 4), " ")
-        return let(near, lambda n: reduce(Column.__or__, [n.rlike(p) for p in lx.IDIOMS]))
+        return F.array_join(F.slice(raw, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 4), " ").rlike(any_idiom)
+
+    def flags(idiomatic: Column) -> Column:  # where the sentence has no idiom, no window has
+        letter = lambda w, i: F.when(w.isin(*lx.FRACTIONS), "F").when(~w.isin(*known), ".").when(idiomatic & in_idiom(i), "i").otherwise("n")
+        return F.array_join(F.transform(clean, letter), "")
+
+    def cut(f: Column) -> Column:
+        """(cut, at) of each cut: a mark before each tells at which letters cuts begin."""
+        letters = F.regexp_extract_all(F.regexp_replace(f, CUTS, "|$0"), F.lit(r"\|?[^|]"), F.lit(0))
+        heads = F.filter(F.transform(letters, lambda x, i: F.when(F.startswith(x, F.lit("|")), i)), lambda i: i.isNotNull())
+        return F.zip_with(F.regexp_extract_all(f, F.lit(CUTS), F.lit(0)), heads, lambda c, at: F.struct(c.alias("cut"), at.alias("at")))
 
-    letter = lambda w, i: F.when(F.array_contains(fractions, w), "F").when(~F.array_contains(known, w), ".").when(in_idiom(i), "i").otherwise("n")
-    cuts = F.regexp_extract_all(F.array_join(F.transform(clean, letter), ""), F.lit(CUTS), F.lit(0))
-    placed = let(cuts, lambda cs: F.transform(cs, lambda c, k: F.struct(c.alias("cut"), F.length(F.array_join(F.slice(cs, 1, k), "")).alias("at"))))
+    placed = let(let(F.array_join(raw, " ").rlike(any_idiom), flags), cut)
     note = lambda original, converted, value, idiom, at: F.struct(original.alias("original"), converted.alias("converted"), value.alias("value"), F.lit(idiom).alias("is_idiom"), at.cast("int").alias("position"))
     nothing = F.lit(None).cast("long")
 

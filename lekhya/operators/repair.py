@@ -45,19 +45,28 @@ def _core(word: Column) -> Column:
     return text.strip_tail(word, lx.TAIL_MARKS)
 
 
-def would_change(hypothesis: Column, table: Column) -> Column:
-    words = text.tokens(hypothesis)
-    return text.repeats(words, lx.REPAIR_REPEATS) | F.exists(words, lambda w: F.try_element_at(table, _core(w)).isNotNull())
+def looped(words: Column) -> Column:
+    """Whether some word occurs REPAIR_REPEATS times, so that loops are collapsed."""
+    return text.repeats(words, lx.REPAIR_REPEATS)
+
+
+def known(words: Column, table: Column) -> Column:
+    """Whether the map has some word, less its final marks."""
+    return F.exists(words, lambda w: F.try_element_at(table, _core(w)).isNotNull())
+
+
+def _replaced(words: Column, table: Column) -> Column:
+    mapped = lambda w: let(_core(w), lambda c: F.concat(F.coalesce(F.try_element_at(table, c), c), F.substring(w, F.length(c) + 1, F.length(w))))
+    return F.array_join(F.transform(words, mapped), " ")
 
 
 def _unlooped(hypothesis: Column) -> Column:
-    return F.when(text.repeats(text.tokens(hypothesis), lx.REPAIR_REPEATS), text.collapse_repeats(hypothesis)).otherwise(hypothesis)
+    return F.when(looped(text.tokens(hypothesis)), text.collapse_repeats(hypothesis)).otherwise(hypothesis)
 
 
 def fix(hypothesis: Column, table: Column) -> Column:
     """Loops collapsed where some word occurs REPAIR_REPEATS times, then each word looked up less its final marks, which it keeps."""
-    mapped = lambda w: let(_core(w), lambda c: F.concat(F.coalesce(F.try_element_at(table, c), c), F.substring(w, F.length(c) + 1, F.length(w))))
-    return F.array_join(F.transform(text.tokens(_unlooped(hypothesis)), mapped), " ")
+    return _replaced(text.tokens(_unlooped(hypothesis)), table)
 
 
 def fix_joined(rows: DataFrame, table: DataFrame, key: list[str], hypothesis: str = "hyp_norm") -> DataFrame:
@@ -71,11 +80,14 @@ def fix_joined(rows: DataFrame, table: DataFrame, key: list[str], hypothesis: st
 
 def evaluate(pairs: DataFrame, table: Column, compose=text.nfc) -> DataFrame:
     """pairs with fixed, wer_before, wer_after and outcome."""
-    scored = scoring.score(pairs, compose=compose)
-    fixed = F.when(would_change(F.col("hyp_norm"), table), text.normalize_for_wer(fix(F.col("hyp_norm"), table), text.nfc_native)).otherwise(F.col("hyp_norm"))
-    scored = once(scored.withColumnRenamed("wer", "wer_before"), fixed=fixed)
+    scored = scoring.score(pairs, compose=compose).withColumnRenamed("wer", "wer_before")
+    out = once(scored, _w=text.tokens(F.col("hyp_norm")))
+    out = once(out, _loop=looped(F.col("_w")), _hit=known(F.col("_w"), table))
+    words = F.when(F.col("_loop"), text.tokens(text.collapse_repeats(F.col("hyp_norm")))).otherwise(F.col("_w"))
+    out = once(out, fixed=F.when(F.col("_loop") | F.col("_hit"), text.normalize_for_wer(_replaced(words, table), text.nfc_native)).otherwise(F.col("hyp_norm")))
     after = wer.wer(wer.word_edits(text.tokens(F.col("ref_norm")), text.tokens(F.col("fixed"))), F.col("ref_words"))
-    return once(scored, wer_after=after).withColumn("outcome", wer.outcome(F.col("wer_before"), F.col("wer_after"), F.col("fixed") != F.col("hyp_norm")))
+    after = F.when(F.col("fixed") == F.col("hyp_norm"), F.col("wer_before")).otherwise(after)
+    return once(out.drop("_w", "_loop", "_hit"), wer_after=after).withColumn("outcome", wer.outcome(F.col("wer_before"), F.col("wer_after"), F.col("fixed") != F.col("hyp_norm")))
 
 
 def summary(evaluated: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def head_of_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro average over whole documents, by source."""
-    s = scoring.score(views.docpair(spark, sf_dir).repartition("doc_id", "reference"), compose=text.nfc_native, long_texts=True)
+    s = scoring.score(views.docpair(spark, sf_dir), compose=text.nfc_native, long_texts=True)
     return scoring.corpus(s, ["source"]).select("source", "n", "edits", "ref_words", F.round("wer", 6).alias("wer"))
 
 
@@ -209,14 +209,14 @@ def sampling_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = errors.align(_scored(spark, sf_dir).repartition(*KEYS))
+    rows = errors.align(_scored(spark, sf_dir))
     kind = errors.category(F.col("ref_norm"), F.col("hyp_norm"), F.col("word_errors"), casual=["the", "of"], function_words=["and", "is", "it", "to"], fillers=["uh"])
     return rows.where("wer > 0").withColumn("category", kind)
 
 
 @query
 def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = errors.align(_scored(spark, sf_dir).repartition(*KEYS)).select(*KEYS, F.posexplode("word_errors").alias("place", "e"))
+    e = errors.align(_scored(spark, sf_dir)).select(*KEYS, F.posexplode("word_errors").alias("place", "e"))
     return e.select(*KEYS, "place", "e.type", "e.ref", "e.hyp", "e.ref_pos", "e.hyp_pos")
 
 

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, dealt by keys to as many tasks as there are cores where a small table arrives in fewer; a table of more partitions is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, WORDS), lambda w: w != "")
 
@@ -41,13 +47,13 @@ def _pairs(rows: DataFrame, key: Column) -> DataFrame:
 
 def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, role, reference, hypothesis): turns and a misheard copy of known errors."""
-    c = table(spark, sf_dir, "conversations")
-    return _pairs(c.select("conv_id", "turn", "role", "text"), F.col("conv_id"))
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
+    return _pairs(c, F.col("conv_id"))
 
 
 def docpair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, reference, hypothesis) of documents."""
-    return _pairs(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("doc_id"))
+    return _pairs(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"), F.col("doc_id"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +84,7 @@ SPOKEN = ["एक", "दो", "चौवन", "सौ", "हज़ार", "ल
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, reference, hypothesis): turns with three words in four of SPOKEN, chosen by place, conversation and length; of the hypothesis one in six is the next of the list."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", words(F.col("text")).alias("w"))
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", words(F.col("text")).alias("w"))
     known = F.array(*[F.lit(x) for x in SPOKEN])
 
     def said(w: Column, i: Column, shift: Column) -> Column:
