@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
@@ -150,3 +151,26 @@ def strip_inflection(word: Column, suffixes: Sequence[str] = lx.SUFFIXES) -> Col
 def borrowed_score(word: Column, marks: Sequence[str] = lx.BORROWED_MARKS) -> Column:
     """Marks of a borrowed word, at most 3."""
     return F.least(reduce(Column.__add__, [word.rlike(m).cast("int") for m in marks]), F.lit(3))
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number written with so many places, from 1 to 8, rounded half to even by its exact binary value, below 2^53.
+
+    The fraction is taken apart into two whole numbers of 40 bits each, which hold every bit that
+    can decide, and rounded as a decimal.
+    """
+    half = 1 << 79
+    size = F.abs(value.cast("double"))
+    whole = F.floor(size)
+    high = let(size - whole, lambda f: F.struct(F.floor(f * float(1 << 40)).alias("h"), f.alias("f")))
+    exact = lambda n: n.cast("decimal(20,0)")
+
+    def rounded(p: Column) -> Column:
+        low = F.floor((p["f"] * float(1 << 40) - p["h"]) * float(1 << 40))
+        scaled = ((exact(p["h"]) * F.lit(Decimal(1 << 40)) + exact(low)).cast("decimal(25,0)") * F.lit(Decimal(10**places))).cast("decimal(38,0)")
+        return let(scaled, lambda q: let(F.call_function("div", q, F.lit(Decimal(2 * half))).cast("bigint"), lambda k: F.struct(k.alias("k"), (q - k.cast("decimal(20,0)") * F.lit(Decimal(2 * half))).alias("rest"))))
+
+    up = lambda r: r["k"] + F.when((r["rest"] > F.lit(Decimal(half))) | ((r["rest"] == F.lit(Decimal(half))) & (r["k"] % 2 == 1)), 1).otherwise(0)
+    total = whole.cast("bigint") * 10**places + let(let(high, rounded), up)
+    digits = let(total, lambda t: F.concat(F.call_function("div", t, F.lit(10**places)).cast("string"), F.lit("."), F.lpad((t % 10**places).cast("string"), places, "0")))
+    return F.concat(F.when(value < 0, "-").otherwise(""), digits)

@@ -9,6 +9,8 @@ from lekhya import lexicon as lx
 from lekhya.functions import text, wer
 from lekhya.functions.once import let, once
 from lekhya.operators import scoring
+from lekhya.operators.order import middles, with_middles
+from lekhya.stored import stored
 
 #: Entries of a map that is sent to every task as a literal; a larger one is joined.
 LITERAL_ENTRIES = 10_000
@@ -90,13 +92,22 @@ def evaluate(pairs: DataFrame, table: Column, compose=text.nfc) -> DataFrame:
     return once(out.drop("_w", "_loop", "_hit"), wer_after=after).withColumn("outcome", wer.outcome(F.col("wer_before"), F.col("wer_after"), F.col("fixed") != F.col("hyp_norm")))
 
 
+def _measured(evaluated: DataFrame) -> DataFrame:
+    """One row: n, means, middle values (wer_before_low, ...) and numbers of outcomes."""
+    rates = stored(evaluated.select("wer_before", "wer_after", "outcome"), "rates")
+    kind = F.col("outcome")
+    stats = rates.agg(
+        F.count("*").alias("n"), F.avg("wer_before").alias("mean_before"), F.avg("wer_after").alias("mean_after"),
+        F.count_if(kind == "improved").alias("improved"), F.count_if(kind.isin("unchanged", "unchanged_wer")).alias("unchanged"), F.count_if(kind == "regressed").alias("regressed"),
+    )
+    return with_middles(stats, middles(rates, ["wer_before", "wer_after"]))
+
+
 def summary(evaluated: DataFrame) -> DataFrame:
     """One row: means and medians before and after, and how many improved, stayed or got worse."""
-    b, a = F.col("wer_before"), F.col("wer_after")
-    return evaluated.agg(
-        F.count("*").alias("n"), F.avg(b).alias("mean_before"), F.avg(a).alias("mean_after"), F.median(b).alias("median_before"), F.median(a).alias("median_after"),
-        F.count_if(F.col("outcome") == "improved").alias("improved"), F.count_if(F.col("outcome").isin("unchanged", "unchanged_wer")).alias("unchanged"), F.count_if(F.col("outcome") == "regressed").alias("regressed"),
-    )
+    half = lambda c: ((F.col(f"{c}_low") + F.col(f"{c}_high")) / 2)
+    medians = [half("wer_before").alias("median_before"), half("wer_after").alias("median_after")]
+    return _measured(evaluated).select("n", "mean_before", "mean_after", *medians, "improved", "unchanged", "regressed")
 
 
 def improved(evaluated: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,13 +118,9 @@ def improved(evaluated: DataFrame, keys: list[str]) -> DataFrame:
 
 def report(evaluated: DataFrame, table: DataFrame) -> DataFrame:
     """One row: the summary to 4 places, what the repair gained, and the entries of the map (hyp, ref, source) by source. Medians are upper ones, differences those of the exact values."""
-    b, a = F.col("wer_before"), F.col("wer_after")
-    upper = lambda c: F.expr(f"percentile_disc(0.5) within group (order by `{c}` desc)")
-    kind = F.col("outcome")
-    made = evaluated.agg(
-        F.count("*").alias("target_samples"), F.avg(b).alias("mean_b"), F.avg(a).alias("mean_a"), upper("wer_before").alias("median_b"), upper("wer_after").alias("median_a"),
-        F.count_if(kind == "improved").alias("fixed_count"), F.count_if(kind.isin("unchanged", "unchanged_wer")).alias("unchanged_count"), F.count_if(kind == "regressed").alias("regressed_count"),
-    )
+    given = _measured(evaluated)
+    renamed = {"n": "target_samples", "mean_before": "mean_b", "mean_after": "mean_a", "wer_before_high": "median_b", "wer_after_high": "median_a", "improved": "fixed_count", "unchanged": "unchanged_count", "regressed": "regressed_count"}
+    made = given.withColumnsRenamed(renamed)
     entries = table.agg(F.count("*"), F.count_if(F.col("source") == "mined"), F.count_if(F.col("source") == "seed")).first()
     sizes = [F.lit(n).cast("long").alias(name) for n, name in zip(entries, ("map_entries", "mined_entries", "seed_entries"), strict=True)]
     pair = lambda kind: [F.round(f"{kind}_b", 4).alias(f"wer_before_{kind}"), F.round(f"{kind}_a", 4).alias(f"wer_after_{kind}"), F.round(F.col(f"{kind}_b") - F.col(f"{kind}_a"), 4).alias(f"improvement_{kind}")]

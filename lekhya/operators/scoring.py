@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lekhya.functions import text, wer
 from lekhya.functions.once import once
-from lekhya.operators.order import number_rows
+from lekhya.operators.order import middles, number_rows, with_middles
+from lekhya.stored import stored
 
 BINS = (0.0, 0.3, 0.5, 1.0, 2.0, 5.0)
 
@@ -57,8 +58,10 @@ def model_table(runs: Sequence[tuple[str, str, DataFrame | None]]) -> DataFrame:
 
 def macro(scored: DataFrame, column: str = "wer", by: Sequence[str] = ()) -> DataFrame:
     """Mean and median of the utterances' rates, and the upper median: of an even number, the larger of the middle two."""
-    upper = F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")
-    return scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean_wer"), F.median(column).alias("median_wer"), upper.alias("upper_median_wer"))
+    rates = stored(scored.select(*by, F.col(column).alias("rate")), "rates")
+    stats = rates.groupBy(*by).agg(F.count("*").alias("n"), F.avg("rate").alias("mean_wer"))
+    found = with_middles(stats, middles(rates, ["rate"], by), by)
+    return found.select(*by, "n", "mean_wer", ((F.col("rate_low") + F.col("rate_high")) / 2).alias("median_wer"), F.col("rate_high").alias("upper_median_wer"))
 
 
 def bin_of(column: Column, bins: Sequence[float] = BINS) -> Column:

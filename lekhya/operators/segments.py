@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
 from lekhya.functions import arrays, text
+from lekhya.operators.order import middles, with_middles
+from lekhya.stored import stored
 
 
 def skip_reason(start: Column, end: Column, words: Column, samples: Column | None = None, script: str = "devanagari", fillers: Sequence[str] = lx.SEGMENT_FILLERS) -> Column:
@@ -42,18 +44,25 @@ def reason_tally(marked: DataFrame) -> DataFrame:
 
 def filter_stats(marked: DataFrame, duration: str = "duration") -> DataFrame:
     """One row: segments before and after, retention, hours and durations of what is kept."""
-    kept = F.when(F.col("skip_reason").isNull(), F.col(duration))
-    return marked.agg(
-        F.count("*").alias("n_before"), F.count(kept).alias("n_after"), F.count_if(F.col("skip_reason").isNotNull()).alias("n_removed"),
-        F.coalesce(100.0 * F.count(kept) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("retention_pct"), F.coalesce(F.sum(kept), F.lit(0.0)).alias("kept_seconds"),
-        F.min(kept).alias("min_seconds"), F.max(kept).alias("max_seconds"), F.avg(kept).alias("mean_seconds"), F.median(kept).alias("median_seconds"),
+    on = F.col("skip_reason").isNull()
+    rows = stored(marked.select(on.alias("on"), F.when(on, F.col(duration)).alias("kept")), "durations")
+    stats = rows.agg(
+        F.count("*").alias("n_before"), F.count("kept").alias("n_after"), F.count_if(~F.col("on")).alias("n_removed"),
+        F.coalesce(100.0 * F.count("kept") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("retention_pct"), F.coalesce(F.sum("kept"), F.lit(0.0)).alias("kept_seconds"),
+        F.min("kept").alias("min_seconds"), F.max("kept").alias("max_seconds"), F.avg("kept").alias("mean_seconds"),
     )
+    found = with_middles(stats, middles(rows, ["kept"]))
+    return found.select(*stats.columns, ((F.col("kept_low") + F.col("kept_high")) / 2).alias("median_seconds"))
 
 
 def dataset_stats(rows: DataFrame, by: Sequence[str] = (), duration: str = "duration", words: str = "text") -> DataFrame:
     """Per group: rows, hours, durations, and the mean and least of the rows' words a second."""
     rate = F.size(text.tokens(F.col(words))) / F.nullif(F.col(duration), F.lit(0.0))
-    return rows.withColumn("_wps", rate).groupBy(*by).agg(
-        F.count("*").alias("n"), (F.sum(duration) / 3600).alias("hours"), F.min(duration).alias("min_seconds"), F.max(duration).alias("max_seconds"),
-        F.avg(duration).alias("mean_seconds"), F.median(duration).alias("median_seconds"), F.avg("_wps").alias("mean_wps"), F.min("_wps").alias("min_wps"),
+    rows = stored(rows.select(*by, F.col(duration).alias("seconds"), rate.alias("wps")), "durations")
+    stats = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), (F.sum("seconds") / 3600).alias("hours"), F.min("seconds").alias("min_seconds"), F.max("seconds").alias("max_seconds"),
+        F.avg("seconds").alias("mean_seconds"), F.avg("wps").alias("mean_wps"), F.min("wps").alias("min_wps"),
     )
+    found = with_middles(stats, middles(rows, ["seconds"], by), by)
+    median = ((F.col("seconds_low") + F.col("seconds_high")) / 2).alias("median_seconds")
+    return found.select(*by, "n", "hours", "min_seconds", "max_seconds", "mean_seconds", median, "mean_wps", "min_wps")

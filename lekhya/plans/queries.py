@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
 from lekhya.functions import arrays, text
 from lekhya.operators import cleanup, errors, loanwords, numbers, repair, sampling, scoring, segments, split
 from lekhya.plans import views
-from lekhya.sources import readers
+from lekhya.sources import audio, readers, writers
+from lekhya.stored import stored
 
 KEYS = ["conv_id", "turn"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,16 +242,53 @@ def category_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.advice(_aligned(spark, sf_dir))
 
 
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = {"casual": [*lx.CASUAL_MARKERS, "the", "of"], "function_words": [*lx.FUNCTION_WORDS, "and", "is", "it", "to"], "fillers": lx.INSERTED_FILLERS}
+    rows = views.noted(spark, sf_dir).where("wer > 0")
+    return rows.withColumn("category", errors.category(F.col("ref_norm"), F.col("hyp_norm"), F.col("word_errors"), **lists))
+
+
+def _why() -> Column:
+    return errors.reason(F.col("hyp_norm"), F.col("word_errors"), F.col("category")).alias("reason")
+
+
+@query
+def noted_error_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and reason of turns whose errors are known by place, apart from the alignment."""
+    return _noted(spark, sf_dir).select(*KEYS, "category", _why())
+
+
+@query
+def noted_category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.shares(_noted(spark, sf_dir)).select("category", "n", F.round("share_pct", 6).alias("share_pct"))
+
+
+@query
+def noted_category_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = errors.examples(_noted(spark, sf_dir), ["wer", *KEYS])
+    return shown.select("category", F.col("place").cast("long").alias("place"), *KEYS, F.col("ref_norm").alias("reference"), F.col("hyp_norm").alias("hypothesis"), F.round("wer", 6).alias("wer"), _why())
+
+
+@query
+def noted_category_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.advice(_noted(spark, sf_dir))
+
+
+@query
+def block_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fallback rate: words of the longer side of each unequal span, a reference word."""
+    return views.noted(spark, sf_dir).select(*KEYS, F.round("wer", 6).alias("wer"))
+
+
 @query
 def substitution_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the literal substitutions, and of the turns, whose Roman letters keep them out."""
-    own = views.substitutions(spark).unionByName(_aligned(spark, sf_dir).select("word_errors"))
-    return repair.substitution_pairs(own)
+    """Of the words of turns that were heard as others, and of literal substitutions; Roman letters keep some out."""
+    return repair.substitution_pairs(views.misheard(spark, sf_dir))
 
 
 @query
 def repair_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.merge(views.seed(spark), repair.mine(repair.substitution_pairs(views.substitutions(spark))))
+    return repair.merge(views.seed(spark), repair.mine(repair.substitution_pairs(views.misheard(spark, sf_dir))))
 
 
 def _repairs(spark: SparkSession) -> DataFrame:
@@ -298,11 +336,13 @@ def number_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of all pairs a hundred and b, from the number words."""
-    words = {**lx.UNITS, **lx.TENS}
-    rows = [(f"{a} {m} {b}", v * lx.MULTIPLIERS[m] + w) for a, v in words.items() if 0 < v < 20 for m in ("सौ", "हज़ार", "लाख") for b, w in words.items() if w % 7 == 1]
-    df = spark.createDataFrame(rows, "words string, expected long")
-    return df.select("words", numbers.span_value(F.split("words", " ")).alias("value"))
+    """Values of three number words for each word of a turn: a unit or ten, a multiplier, a unit or ten, chosen by place and length."""
+    units, times = [*lx.UNITS, *lx.TENS], [*lx.MULTIPLIERS]
+    pick = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), (at % len(names)).cast("int"))
+    n, k = F.length("w"), F.col("conv_id")
+    rows = views.table(spark, sf_dir, "conversations").select(*KEYS, F.posexplode(views.words(F.col("text"))).alias("i", "w"))
+    said = rows.select(*KEYS, F.col("i").cast("long").alias("i"), F.array(pick(units, F.col("i") * 7 + n), pick(times, F.col("i") + k), pick(units, F.col("i") + n * 3)).alias("said"))
+    return said.select(*KEYS, "i", F.array_join("said", " ").alias("words"), numbers.span_value(F.col("said")).alias("value"))
 
 
 @query
@@ -367,5 +407,25 @@ def download_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.get(views.words(F.col("text")), F.lit(0))
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.is_title(first), F.lit(False)).alias("title"))
+    """Whether a text begins with a title-case word, and how many of its words are such."""
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", views.words(F.col("text")).alias("w"))
+    named = F.size(F.filter("w", text.is_title)).cast("long")
+    return rows.select("doc_id", F.coalesce(text.is_title(F.get("w", F.lit(0))), F.lit(False)).alias("title"), named.alias("n_title"))
+
+
+@query
+def fixed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with two to four places: eighths and sixteenths, of which many are ties, and hundredths that binary numbers only come near."""
+    n = F.col("n_chars")
+    shown = {"eighths": text.fixed(n / 8.0, 2), "cents": text.fixed(n * 0.005, 2), "small": text.fixed(n / 160000.0, 4), "below": text.fixed(-n / 16.0, 3)}
+    return views.table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in shown.items()])
+
+
+@query
+def segment_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept segments written as WAVE files and read back: size, checksum and number of samples of each."""
+    made = segments.build(views.recordings(spark, sf_dir), views.transcripts(spark, sf_dir), "latin", views.RATE)
+    files = stored(writers.audio_rows(made, views.RATE), "segment-audio")
+    read = audio.decoded(files, ["recording_id", "segment_idx", "audio_path", "content"], views.RATE)
+    size = F.octet_length("content").cast("long").alias("n_bytes")
+    return read.select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), "audio_path", size, F.sha2("content", 256).alias("sha256"), F.size("samples").cast("long").alias("n_samples"), "error")

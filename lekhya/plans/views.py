@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
+from lekhya.functions import wer
 from lekhya.functions.once import once
 
 WORDS = r"[ \n\t\r]+"
@@ -107,6 +108,47 @@ def hints(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(HINTS, "id int, text string")
 
 
+#: Words that stand for some words of the references of noted().
+NOTED = ["है", "का", "यार", "मतलब", "घर", "मीटिंग", "को", "बात"]
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, ref_norm, hyp_norm, ref_words, word_errors, wer): turns of which it is known, word by word, what was misheard.
+
+    Some words of NOTED stand in the reference, and a digit in one conversation of eleven. By
+    place, conversation and length a word is switched to the other script, taken for a casual one,
+    misspelt, left out, or followed by a filler; one conversation in thirteen ends in a loop.
+    """
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", words(F.col("text")).alias("w"))
+    k = F.col("conv_id")
+    known = F.array(*[F.lit(x) for x in NOTED])
+
+    def said(w: Column, i: Column) -> Column:
+        other = F.when((i + k) % 7 == 3, F.get(known, ((i * i + F.length(w)) % len(NOTED)).cast("int"))).otherwise(w)
+        return F.when((k % 11 == 3) & (i == 0), F.concat(w, F.lit("5"))).otherwise(other)
+
+    def error(kind: str, ref: Column, hyp: Column, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), ref.alias("ref"), hyp.alias("hyp"), at.cast("int").alias("ref_pos"), F.lit(None).cast("int").alias("hyp_pos"))
+
+    def heard(w: Column, i: Column) -> Column:
+        rule, turn = (i * 7 + k + F.length(w)) % 19, k % 4
+        swapped = F.when(w.rlike("[\\u0900-\\u097F]"), "meeting").otherwise("मीटिंग")
+        sub = lambda x: F.struct(F.array(x).alias("h"), F.array(error("substitution", w, x, i)).alias("e"))
+        after = lambda x: F.struct(F.array(w, F.lit(x)).alias("h"), F.array(error("insertion", F.lit(""), F.lit(x), F.lit(None))).alias("e"))
+        gone = F.struct(F.array().cast("array<string>").alias("h"), F.array(error("deletion", w, F.lit(""), i)).alias("e"))
+        same = F.struct(F.array(w).alias("h"), F.filter(F.array(error("", w, w, i)), lambda e: F.lit(False)).alias("e"))
+        return (
+            F.when((rule == 0) & (turn == 0), sub(swapped)).when((rule == 1) & (turn == 1), sub(F.lit("यार"))).when((rule == 2) & (turn <= 2), sub(F.concat(w, F.lit("x"))))
+            .when((rule == 3) & (turn >= 1), gone).when((rule == 4) & (turn >= 2), after("uh")).when((rule == 5) & (turn == 3), after("अच्छा")).otherwise(same)
+        )
+
+    out = once(once(c, r=F.transform("w", said)), p=F.transform("r", heard))
+    loop = F.when(k % 13 == 6, 8).otherwise(0)
+    extra = F.array_repeat(error("insertion", F.lit(""), F.lit("ना"), F.lit(None)), loop)
+    out = once(out, h=F.concat(F.flatten(F.col("p.h")), F.array_repeat(F.lit("ना"), loop)), word_errors=F.concat(F.flatten(F.col("p.e")), extra), ref_words=F.size("r"))
+    return out.select("conv_id", "turn", F.array_join("r", " ").alias("ref_norm"), F.array_join("h", " ").alias("hyp_norm"), "ref_words", "word_errors", wer.block_wer(F.col("word_errors"), F.col("ref_words")).alias("wer"))
+
+
 #: Substitutions for the repair map: hyp, ref, times seen.
 SUBSTITUTIONS = [("गर", "घर", 3), ("गर", "गार", 1), ("थादे", "ढाबे", 2), ("मेरे", "मेरा", 4), ("मेरे", "तेरे", 4), ("अते", "होते", 2), ("हैर", "है", 1), ("meeting", "मीटिंग", 5), ("वो", "वो", 9), ("", "कल", 3)]
 
@@ -119,5 +161,13 @@ def substitutions(spark: SparkSession) -> DataFrame:
     return df.select(F.array(error).alias("word_errors"))
 
 
+def misheard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word_errors rows: the words of spoken() that were heard as others, place by place, and the literal substitutions."""
+    rows = spoken(spark, sf_dir).select(words(F.col("reference")).alias("r"), words(F.col("hypothesis")).alias("h"))
+    both = F.zip_with("r", "h", lambda r, h: F.struct(F.lit("substitution").alias("type"), r.alias("ref"), h.alias("hyp"), F.lit(0).alias("ref_pos"), F.lit(0).alias("hyp_pos")))
+    own = rows.select(F.filter(both, lambda e: e["ref"] != e["hyp"]).alias("word_errors"))
+    return own.unionByName(substitutions(spark))
+
+
 def seed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(lx.REPAIR_SEED.items()), "hyp string, ref string")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhya import lexicon as lx
 from lekhya.functions import text
 from lekhya.functions.wer import ERROR
+from lekhya.sources import audio
 
 CATALOGUE = "user_id long, recording_id long, language string, duration double, rec_url_gcp string, transcription_url_gcp string, metadata_url_gcp string"
 SEGMENTS = "array<struct<start:double,end:double,text:string,speaker_id:long>>"
@@ -22,37 +24,68 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.schema(CATALOGUE).csv(path, header=True)
 
 
-def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(recording_id, segments) of JSON files <recording_id>_*.json, an array of segments each."""
+def transcripts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(recording_id, segments) of JSON files <recording_id>_*.json, an array of segments each.
+
+    strict: a damaged file is an error. Otherwise it is a row with null segments and, in a third
+    column error, the start of its text.
+    """
     rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
-    return rows.select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("recording_id"), F.from_json("value", SEGMENTS).alias("segments"))
+    number = F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("recording_id")
+    if strict:
+        return rows.select(number, F.from_json("value", SEGMENTS, {"mode": "FAILFAST"}).alias("segments"))
+    got = rows.select(number, "value", F.from_json("value", SEGMENTS).alias("segments"))
+    damage = F.when(F.col("segments").isNull(), F.concat(F.lit("no array of segments: "), F.substring("value", 1, 80)))
+    return got.select("recording_id", "segments", damage.alias("error"))
 
 
 def audio_listing(spark: SparkSession, path: str) -> DataFrame:
     """(recording_id, path, length) of <recording_id>_audio.wav files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_audio.wav").load(path).select("path", "length")
-    return files.select(F.regexp_extract("path", r"(\d+)_audio\.wav$", 1).cast("long").alias("recording_id"), "path", "length")
+    return _audio(spark, path).select("recording_id", "path", "length")
+
+
+def _audio(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_audio.wav").load(path)
+    return files.withColumn("recording_id", F.regexp_extract("path", r"(\d+)_audio\.wav$", 1).cast("long"))
+
+
+def recordings(spark: SparkSession, path: str, rate: int = lx.SAMPLE_RATE) -> DataFrame:
+    """(recording_id, samples, error) of <recording_id>_audio.wav files; a damaged one has null samples and a message."""
+    return audio.decoded(_audio(spark, path).select("recording_id", "content"), ["recording_id"], rate)
+
+
+def segment_audio(spark: SparkSession, path: str, rate: int = lx.SAMPLE_RATE) -> DataFrame:
+    """(recording_id, segment_idx, audio_path, samples, error) of what writers.segment_audio wrote."""
+    return audio.decoded(spark.read.parquet(path), ["recording_id", "segment_idx", "audio_path"], rate)
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str, strict: bool) -> DataFrame:
+    """JSON lines; blank ones are skipped. strict: a damaged line is an error, else a row of nulls with the line in a last column error."""
+    if strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(f"{schema}, error string").option("columnNameOfCorruptRecord", "error").json(path)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path)
+def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Manifest rows as JSON lines; see _json_lines."""
+    return _json_lines(spark, path, MANIFEST, strict)
 
 
-def error_samples(spark: SparkSession, path: str | None, demo: DataFrame | None = None) -> DataFrame:
-    """Error samples as JSON lines; blank lines are skipped. Without a path, the rows of demo."""
+def error_samples(spark: SparkSession, path: str | None, demo: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """Error samples as JSON lines; see _json_lines. Without a path, the rows of demo."""
     if path is None:
         if demo is None:
             raise ValueError("neither a path nor demonstration rows")
         return demo
-    return spark.read.schema(SAMPLES).json(path)
+    return _json_lines(spark, path, SAMPLES, strict)
 
 
 def dataset(spark: SparkSession, path: str, required: bool = True) -> DataFrame | None:
-    """A Parquet dataset; None where an optional one cannot be read."""
+    """A Parquet dataset; None where an optional one is not there. One that is there and cannot be read is an error in any case."""
     try:
         return spark.read.parquet(path)
-    except Exception:
-        if required:
+    except AnalysisException as e:
+        if required or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhya import lexicon as lx
+from lekhya.functions import text
 from lekhya.operators import cleanup, errors, numbers, repair
+from lekhya.sources import audio
 
 
 def manifest(rows: DataFrame, path: str) -> None:
@@ -17,13 +20,25 @@ def dataset(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def segment_audio(segments: DataFrame, path: str, rate: int = lx.SAMPLE_RATE, folder: str = "segments") -> None:
+    """The kept segments of segments.build as WAVE files: rows (recording_id, segment_idx, audio_path, content) of Parquet, which Spark commits as a whole."""
+    audio_rows(segments, rate, folder).write.mode("overwrite").parquet(path)
+
+
+def audio_rows(segments: DataFrame, rate: int = lx.SAMPLE_RATE, folder: str = "segments") -> DataFrame:
+    """(recording_id, segment_idx, audio_path, content) of the kept segments."""
+    name = F.concat(F.lit(f"{folder}/"), audio.segment_name(F.col("recording_id"), F.col("segment_idx")))
+    kept = segments.where("skip_reason is null")
+    return kept.select("recording_id", "segment_idx", name.alias("audio_path"), audio.to_wav(F.col("samples"), F.lit(rate)).alias("content"))
+
+
 def wer_table(rows: DataFrame, path: str) -> None:
     """CSV of model, dataset and percent with two places."""
-    rows.select(F.col("model").alias("Model"), F.col("dataset").alias("Dataset"), F.format_string("%.2f", F.round(F.col("wer") * 100, 2)).alias("WER (%)")).write.mode("overwrite").csv(path, header=True)
+    rows.select(F.col("model").alias("Model"), F.col("dataset").alias("Dataset"), text.fixed(F.col("wer") * 100, 2).alias("WER (%)")).write.mode("overwrite").csv(path, header=True)
 
 
 def error_samples(rows: DataFrame, path: str) -> None:
-    rows.select("recording_id", "segment_idx", "reference", "hypothesis", F.round("wer", 4).alias("wer"), F.round("duration", 2).alias("duration"), "speaker_id", "word_errors").write.mode("overwrite").json(path)
+    rows.select("recording_id", "segment_idx", "reference", "hypothesis", text.fixed(F.col("wer"), 4).cast("double").alias("wer"), text.fixed(F.col("duration"), 2).cast("double").alias("duration"), "speaker_id", "word_errors").write.mode("overwrite").json(path)
 
 
 def json_rows(rows: DataFrame, path: str) -> None:
@@ -60,16 +75,16 @@ def cleanup_report(cleaned: DataFrame, keys: list[str], most: int = 1000) -> str
     each = done.select(*keys, F.explode("real").alias("c")).select(*keys, code(F.col("c.original")).alias("said"), code(F.col("c.converted")).alias("written"), F.col("c.value").alias("value"))
     spared = cleanup.edge_cases(cleaned, keys).select(*keys, code(F.col("raw")).alias("input"), code(F.col("digits")).alias("output"), listed(F.col("idioms")).alias("idioms"))
     tagged = cleaned.where("tags.n > 0").select(*keys, code(F.col("hyp")).alias("raw"), code(F.col("tags.text")).alias("tagged"), listed(F.col("tags.words")).alias("words"))
-    signed = lambda rate, delta: F.format_string("%.4f (%+.4f)", F.col(rate), F.col(delta))
-    rates = done.select(*keys, F.format_string("%.4f", "wer_before").alias("before"), signed("wer_hyp_only", "delta_naive").alias("hypothesis only"), signed("wer_both", "delta_correct").alias("both sides"))
+    signed = lambda rate, delta: F.concat(text.fixed(F.col(rate), 4), F.lit(" ("), F.when(F.col(delta) >= 0, "+").otherwise(""), text.fixed(F.col(delta), 4), F.lit(")"))
+    rates = done.select(*keys, text.fixed(F.col("wer_before"), 4).alias("before"), signed("wer_hyp_only", "delta_naive").alias("hypothesis only"), signed("wer_both", "delta_correct").alias("both sides"))
     parts = [("Numbers written as digits", each), ("Idioms left as they are", spared), ("Loanwords", tagged), ("Word error rates of rows with numbers", rates)]
     return "\n".join(["# Cleanup", "", *(markdown(rows.orderBy(*keys), title, most) for title, rows in parts), markdown(cleanup.outcomes(cleaned).orderBy("outcome"), "Outcomes", most)])
 
 
 def taxonomy(classified: DataFrame, strata: DataFrame, keys: list[str], most: int = 1000) -> str:
     """Markdown of the kinds of errors: how samples were drawn, shares, up to five examples of each kind, advice on the most frequent three."""
-    shares = errors.shares(classified).orderBy(F.desc("n"), "category").withColumn("share_pct", F.format_string("%.1f", "share_pct"))
-    shown = errors.examples(classified, ["wer", *keys]).withColumn("wer", F.format_string("%.4f", "wer"))
+    shares = errors.shares(classified).orderBy(F.desc("n"), "category").withColumn("share_pct", text.fixed(F.col("share_pct"), 1))
+    shown = errors.examples(classified, ["wer", *keys]).withColumn("wer", text.fixed(F.col("wer"), 4))
     shown = shown.withColumn("why", errors.reason(F.col("hyp_norm"), F.col("word_errors"), F.col("category"))).orderBy("category", "place").select("category", *keys, F.col("ref_norm").alias("reference"), F.col("hyp_norm").alias("hypothesis"), "wer", "why")
     parts = [("Sampling", strata), ("Shares", shares), ("Examples", shown), ("What to do first", errors.advice(classified))]
     return "\n".join(["# Kinds of errors", "", *(markdown(rows, title, most) for title, rows in parts)])
