@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.llm.common import BROADCAST_KEYS, attach, keep
+
 #: The skippable frame that holds a dictionary (fixed value of the format).
 DICTIONARY_FRAME = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,15 +94,29 @@ def read_archive(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to): refers_to names the smallest page_id with an equal payload of at least least_bytes, where it is another."""
+    """(page_id, url, html, refers_to): refers_to names the smallest page_id with an equal payload of at least least_bytes, where it is another.
+
+    Pages stay where they are: only digests that occur more than once are looked up, in a
+    broadcast of up to BROADCAST_KEYS of them. Beyond that, pages of frequent digests still stay,
+    and the others meet theirs in a shuffle. A null html is an empty payload. Pages without an id
+    refer to the smallest id of their payload, and are never referred to; rows that are equal,
+    or share an id, each keep a record, and those of the smallest id are all responses.
+    """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
-    first = own.groupBy("sha").agg(F.min("page_id").alias("first")).withColumnRenamed("sha", "s")
+    first = own.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("sha", "s")
+    first = keep(first, "digests")
+    met = own.join(F.broadcast(first), F.col("sha") == F.col("s"), "left") if first.count() <= BROADCAST_KEYS else attach(own, first, {"sha": "s"}, how="left")
     refers = F.when((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return own.join(first.hint("shuffle_hash"), F.col("sha") == F.col("s")).select("page_id", "url", "html", refers.alias("refers_to"))
+    return met.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def archives(pages: DataFrame, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """(archive, places): pages as archives of about ARCHIVE_BYTES of records each, one binary a row, so that Spark stores them wherever the table goes."""
+    """(archive, places): pages as archives of about ARCHIVE_BYTES of records each, one binary a row, so that Spark stores them wherever the table goes.
+
+    A task holds one archive at a time; a page larger than that is an archive of its own. A null
+    url is replaced by the record's name, a null html by nothing. An empty table gives no archive;
+    other columns, whatever their names, are not read. For null and repeated ids see planned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[bytes] = []
@@ -126,7 +142,11 @@ def archives(pages: DataFrame, least_bytes: int = 0, date: str = "1970-01-01T00:
 
 
 def records(archive_table: DataFrame) -> DataFrame:
-    """(page_id, uri, payload_bytes, payload_digest, record_type, refers_to, payload) read from archives; a revisit has no payload."""
+    """(page_id, uri, payload_bytes, payload_digest, record_type, refers_to, payload) read from archives; a revisit has no payload.
+
+    A row for each record, page_id null where the page had none. A record whose bytes are not
+    those of its digest is an error. An empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: None if x is None or x.endswith(":None>") else int(x.strip("<>").rpartition(":")[2])

@@ -10,7 +10,7 @@ import pytest
 import zstandard
 
 from lekhya.llm import matroska as M
-from lekhya.llm import queries, warc
+from lekhya.llm import common, queries, warc
 from lekhya.llm.common import keep
 
 
@@ -43,6 +43,19 @@ def test_archives_give_back_every_record(spark):
     assert all(r.refers_to is None for r in few)  # payloads under the least size are all responses
 
 
+@pytest.mark.parametrize("most", [0, 1, 1_000_000])
+def test_a_frequent_payload_is_planned_alike(spark, monkeypatch, most):
+    """A third of all pages share a payload, others are pairs or alone: broadcast, by shuffle, or hot ones of many broadcast alone."""
+    rows = [(i, f"u{i}", "error page" if i % 3 == 0 else f"pair {i // 4}" if i % 3 == 1 else f"own {i}") for i in range(3000)]
+    for module in (warc, common):
+        monkeypatch.setattr(module, "BROADCAST_KEYS", most)
+    got = {r.page_id: r.refers_to for r in warc.planned(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert got == {i: None if first[h] == i else first[h] for i, _, h in rows}
+
+
 def test_the_dictionary_pays():
     rng = random.Random(3)
     common = "".join(rng.choice("abcdefgh <>/") for _ in range(3000))
@@ -95,7 +108,7 @@ def test_media_contract(spark, odd_docs, no_docs):
 
 
 def test_queries_are_all_there():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def layout(track, blocks, cues=b"", scale=1_000_000):
