@@ -211,6 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, share:
     weigh at least the threshold that best tells good from bad labels. Without labels, or
     labels of one kind, there is no evidence: all documents stay (if every label is bad:
     none). Noise is of the id, so reruns agree; all null ids share theirs, as do equal ids.
+    Null, empty and blank texts weigh 0; a very long one is a batch of its own, hashed whole.
+    Repeated rows weigh the same and each count. Other columns, whatever their names, are not
+    read. An empty docs gives no weights.
     """
     model = fit(docs, labels, most)
     weights = keep(weigh(docs, model), "weights")
@@ -247,6 +250,6 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, share: float | None = None) -> DataFrame:
-    """(doc_id, log_weight, sampling_key) of the sampled rows; equal keys at the cut all stay."""
+    """(doc_id, log_weight, sampling_key) of the sampled rows; equal keys at the cut all stay. For nulls, odd texts, repeated rows and empty tables see train."""
     model, weights = train(docs, labels, most, share)
     return weights.where(F.col("sampling_key") >= F.lit(model.cut))

@@ -138,7 +138,8 @@ def scan(docs: DataFrame) -> DataFrame:
     base holds the pattern matches: assignments with a value of six characters, access keys of
     20 and lower-case hex runs of 24. spans adds strings of 20 or more encoded characters that
     pass discoveries() and overlap no match of a pattern. Whole texts in one pass; a null text counts
-    as empty, and repeated rows repeat their result.
+    as empty, and repeated rows repeat their result. An empty table gives no row; other columns,
+    whatever their names, are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = F.lower(F.col("t"))

@@ -92,7 +92,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], f
 
     Urls that are null or without :// have an empty host, which has a reputation like any
     other. Repeated rows are judged alike; labels of one page that disagree count as not
-    good; a null page_id has no label. Other columns are not read.
+    good; a null page_id has no label. Other columns, whatever their names, are not read. An
+    empty table gives no row; without outcomes every host has the prior's mean of a half.
     """
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))

@@ -113,3 +113,17 @@ def test_sql_agrees_on_two_label_suffixes(spark, tmp_path):
         con.execute(f"create view {name} as from '{tmp_path}/{name}.parquet/*.parquet'")
     want = sorted(con.execute(queries.ORACLES["op3_url_filter"]).fetchall())
     assert got == want and {v for *_, v in got} == {"allow", "block"}
+
+
+def test_pages_with_clashing_names_and_none(spark):
+    rows = [(1, "http://a.com/x"), (2, "http://b.net/de/1"), (None, "http://a.com/y"), (3, None), (1, "http://a.com/x")]
+    plain = spark.createDataFrame(rows, "page_id long, url string")
+    good = spark.createDataFrame([(1, True), (2, False)], "page_id long, good boolean")
+    order = lambda df: sorted(map(str, df.collect()))
+    want = order(url_filter.judge(plain, good, RULES))
+    clashing = plain
+    for c in ("host", "path", "rule", "verdict", "h", "n", "k", "bound", "pages", "domain", "suffix", "good", "d", "top"):
+        clashing = clashing.withColumn(c, F.lit("own"))
+    assert order(url_filter.judge(clashing, good, RULES)) == want and len(want) == len(rows)
+    assert url_filter.judge(plain.limit(0), good, RULES).count() == 0
+    assert url_filter.judge(plain, good.limit(0), RULES).count() == len(rows)
