@@ -8,23 +8,22 @@ from __future__ import annotations
 
 DANDA = "।"
 
-UNITS = dict(zip("शून्य एक दो तीन चार पाँच छह सात आठ नौ दस ग्यारह बारह तेरह चौदह पंद्रह सोलह सत्रह अठारह उन्नीस".split(), range(20), strict=True)) | {"पांच": 5, "छः": 6}
-TENS = dict(
-    zip(
-        """
-        बीस इक्कीस बाईस तेईस चौबीस पच्चीस छब्बीस सत्ताईस अट्ठाईस उनतीस
-        तीस इकतीस बत्तीस तैंतीस चौंतीस पैंतीस छत्तीस सैंतीस अड़तीस उनतालीस
-        चालीस इकतालीस बयालीस तैंतालीस चौवालीस पैंतालीस छियालीस सैंतालीस अड़तालीस उनचास
-        पचास इक्यावन बावन तिरपन चौवन पचपन छप्पन सत्तावन अट्ठावन उनसठ
-        साठ इकसठ बासठ तिरसठ चौंसठ पैंसठ छियासठ सड़सठ अड़सठ उनहत्तर
-        सत्तर इकहत्तर बहत्तर तिहत्तर चौहत्तर पचहत्तर छिहत्तर सतहत्तर अठहत्तर उनासी
-        अस्सी इक्यासी बयासी तिरासी चौरासी पचासी छियासी सत्तासी अट्ठासी नवासी
-        नब्बे इक्यानवे बानवे तिरानवे चौरानवे पचानवे छियानवे सत्तानवे अट्ठानवे निन्यानवे
-        """.split(),
-        range(20, 100),
-        strict=True,
-    )
-)
+# Number words and what they stand for.
+UNITS = {
+    "शून्य": 0, "एक": 1, "दो": 2, "तीन": 3, "चार": 4, "पाँच": 5, "छह": 6, "सात": 7, "आठ": 8, "नौ": 9,
+    "दस": 10, "ग्यारह": 11, "बारह": 12, "तेरह": 13, "चौदह": 14, "पंद्रह": 15, "सोलह": 16, "सत्रह": 17, "अठारह": 18, "उन्नीस": 19,
+    "पांच": 5, "छः": 6,
+}
+TENS = {
+    "बीस": 20, "इक्कीस": 21, "बाईस": 22, "तेईस": 23, "चौबीस": 24, "पच्चीस": 25, "छब्बीस": 26, "सत्ताईस": 27, "अट्ठाईस": 28, "उनतीस": 29,
+    "तीस": 30, "इकतीस": 31, "बत्तीस": 32, "तैंतीस": 33, "चौंतीस": 34, "पैंतीस": 35, "छत्तीस": 36, "सैंतीस": 37, "अड़तीस": 38, "उनतालीस": 39,
+    "चालीस": 40, "इकतालीस": 41, "बयालीस": 42, "तैंतालीस": 43, "चौवालीस": 44, "पैंतालीस": 45, "छियालीस": 46, "सैंतालीस": 47, "अड़तालीस": 48, "उनचास": 49,
+    "पचास": 50, "इक्यावन": 51, "बावन": 52, "तिरपन": 53, "चौवन": 54, "पचपन": 55, "छप्पन": 56, "सत्तावन": 57, "अट्ठावन": 58, "उनसठ": 59,
+    "साठ": 60, "इकसठ": 61, "बासठ": 62, "तिरसठ": 63, "चौंसठ": 64, "पैंसठ": 65, "छियासठ": 66, "सड़सठ": 67, "अड़सठ": 68, "उनहत्तर": 69,
+    "सत्तर": 70, "इकहत्तर": 71, "बहत्तर": 72, "तिहत्तर": 73, "चौहत्तर": 74, "पचहत्तर": 75, "छिहत्तर": 76, "सतहत्तर": 77, "अठहत्तर": 78, "उनासी": 79,
+    "अस्सी": 80, "इक्यासी": 81, "बयासी": 82, "तिरासी": 83, "चौरासी": 84, "पचासी": 85, "छियासी": 86, "सत्तासी": 87, "अट्ठासी": 88, "नवासी": 89,
+    "नब्बे": 90, "इक्यानवे": 91, "बानवे": 92, "तिरानवे": 93, "चौरानवे": 94, "पचानवे": 95, "छियानवे": 96, "सत्तानवे": 97, "अट्ठानवे": 98, "निन्यानवे": 99,
+}
 MULTIPLIERS = {"सौ": 100, "हज़ार": 1000, "हजार": 1000, "लाख": 100_000, "करोड़": 10_000_000, "करोड": 10_000_000}
 FRACTIONS = "डेढ़ सवा ढाई अढ़ाई पौने साढ़े साढे".split()
 #: Figurative numbers. Boundaries are white space, as combining marks make \b differ between engines.
@@ -74,9 +73,10 @@ NATIVE_WORDS = """
 हाँ हां शायद ज़रूर बिल्कुल मेरा तेरा हमारा आपका उनका इनका मुझे तुझे उसे हमें आपको उन्हें इसलिए इसलिये इसीलिए यानी मतलब
 बहुत थोड़ा ज़्यादा कम सबसे बेहद पहले बाद अभी हमेशा कभी-कभी क्या कौन कैसे कितना किसका किसे अच्छा बुरा नया पुराना बड़ा छोटा ठीक गलत जरूरी ज़रूरी
 """.split()
-#: Marks of borrowed words; a match each, two are enough. The last two are one ending that counts twice.
+#: Marks of borrowed words; a match each, two are enough. The last two are one ending that counts twice.
 BORROWED_MARKS = ["[टड]्", "ऑ", "फ़", "ज़", "[क-ह]्[क-ह]्[क-ह]", "शन$", "मेंट$", "इंग$", "ली$", "ली$"]
 
+#: Misheard words and what was said.
 REPAIR_SEED = {
     "काज़न": "कजन", "बच्छे": "बच्चे", "उवो": "वो", "अतना": "इतना", "पाद्टी": "पार्टी", "अपलोर": "पॉपुलर", "पसिन्देता": "पसंदीदा",
     "मुझेक": "म्यूजिक", "आटेश्ट": "आर्टिस्ट", "तराय": "ट्राई", "थादे": "ढाबे", "जादे": "ज्यादा", "जादा": "ज्यादा", "प्रना": "पुराना",

@@ -180,3 +180,10 @@ def test_sheets_and_splits(spark, tmp_path):
         writers.dataset(rows, str(tmp_path / "set"))
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "set")).select("k", "split").collect()) == [(1, "train"), (2, "val"), (3, "train")]
     assert (tmp_path / "set" / "split=val").is_dir()
+
+
+def test_long_reports_say_what_is_left_out(spark):
+    rows = spark.range(30).withColumnRenamed("id", "k").orderBy("k")
+    lines = writers.markdown(rows, "Rows", 4).splitlines()
+    assert lines[2:8] == ["| k |", "|---|", "| 0 |", "| 1 |", "| 2 |", "| 3 |"] and lines[-1] == "26 more rows: see the table."
+    assert len(writers.markdown(rows, "Rows", 30).splitlines()) == 34
