@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-#: A word at more places than this keeps its mask.
-FREQUENT = 64
+#: A word at more places than this keeps its mask; of texts of up to SMALL words, every word.
+FREQUENT, SMALL = 64, 4096
 
 
 def _follow(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
@@ -46,10 +47,14 @@ def by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 def by_bits(a: np.ndarray, b: np.ndarray) -> int:
     """The edits by the rows of the distance table as two integers of a bit for each word of a: where the next cell is one more, and where one less."""
     n = len(a)
+    masks: dict[int, int] = {}
+    if n <= SMALL:
+        for i, word in enumerate(a.tolist()):
+            masks[word] = masks.get(word, 0) | 1 << i
+        return _counted(n, b, lambda word: masks.get(word, 0))
     order = np.argsort(a, kind="stable")
     words, start, count = np.unique(a[order], return_index=True, return_counts=True)
     at = {int(w): order[s : s + c] for w, s, c in zip(words, start, count, strict=True)}
-    masks: dict[int, int] = {}
 
     def mask(word: int) -> int:
         if word in masks:
@@ -64,6 +69,11 @@ def by_bits(a: np.ndarray, b: np.ndarray) -> int:
             masks[word] = out
         return out
 
+    return _counted(n, b, mask)
+
+
+def _counted(n: int, b: np.ndarray, mask: Callable[[int], int]) -> int:
+    """The edits between a text of n words and b; mask(w) has the bits of the places of w in the former."""
     full, last = (1 << n) - 1, 1 << n - 1
     more, less, edits = full, 0, n
     for word in b.tolist():
@@ -86,8 +96,9 @@ def by_bits(a: np.ndarray, b: np.ndarray) -> int:
 def edits(ref: pa.ListArray, hyp: pa.ListArray) -> pa.Array:
     """Least word edits of each pair, null where a side is null.
 
-    Without the equal words at both ends, up to the root of the length in edits are looked for
-    along diagonals, at the cost of the length and of the edits squared; more by bits.
+    The equal words at both ends are left out. Of texts of over SMALL words, up to the root of the
+    length in edits are looked for along diagonals, at the cost of the length and of the edits
+    squared; all else is counted by bits.
     """
     both = pa.concat_arrays([x.flatten().cast(pa.string()).fill_null("") for x in (ref, hyp)]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
     ends = [np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]) for x in (ref, hyp)]
@@ -102,6 +113,6 @@ def edits(ref: pa.ListArray, hyp: pa.ListArray) -> pa.Array:
         a, b = a[same:], b[same:]
         same = _follow(a[::-1], b[::-1], 0, 0)
         a, b = a[: len(a) - same], b[: len(b) - same]
-        few = by_diagonals(a, b, math.isqrt(len(b))) if len(a) else len(b)
+        few = len(b) if not len(a) else by_diagonals(a, b, math.isqrt(len(b))) if len(a) > SMALL else None
         out.append(by_bits(a, b) if few is None else few)
     return pa.array(out, pa.int32())

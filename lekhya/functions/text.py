@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 from functools import reduce
 
@@ -43,21 +43,34 @@ def nfc_native(text: Column) -> Column:
     return F.when(text.rlike("[\\u0958-\\u095F\\u093C]"), changed).otherwise(text)
 
 
+def _where(text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """change(text) where a cheap test says that it may differ from text, else text."""
+    return let(text, lambda t: F.when(test(t), change(t)).otherwise(t))
+
+
 def strip(text: Column) -> Column:
     """Without white space, of any kind, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1)).rlike(r"(?U)\s")
+    return _where(text, ends, lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+
+
+def single_spaces(text: Column) -> Column:
+    """Runs of plain spaces as one."""
+    return _where(text, lambda t: F.contains(t, F.lit("  ")), lambda t: F.regexp_replace(t, " {2,}", " "))
 
 
 def normalize_text(text: Column, compose=nfc) -> Column:
     """Trimmed, composed, runs of plain spaces as one."""
-    return F.regexp_replace(compose(strip(text)), " {2,}", " ")
+    return single_spaces(compose(strip(text)))
 
 
 def normalize_for_wer(text: Column, compose=nfc, single: bool = True) -> Column:
     """The form in which transcripts are compared: composed, runs of danda or period as one danda, none of them at the end, single spaces (if single)."""
-    marked = F.regexp_replace(compose(text), f"[{lx.DANDA}.]{{2,}}", lx.DANDA)
-    tail = F.regexp_replace(marked, f"[{lx.DANDA}. ]+$", "")
-    return F.regexp_replace(strip(tail), " {2,}", " ") if single else strip(tail)
+    runs = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(x + y)) for x in (lx.DANDA, ".") for y in (lx.DANDA, ".")])
+    marked = _where(compose(text), runs, lambda t: F.regexp_replace(t, f"[{lx.DANDA}.]{{2,}}", lx.DANDA))
+    ends = lambda t: F.substring(t, -1, 1).isin(lx.DANDA, ".", " ", "\n", "\r", "\u0085", "\u2028", "\u2029")
+    tail = strip(_where(marked, ends, lambda t: F.regexp_replace(t, f"[{lx.DANDA}. ]+$", "")))
+    return single_spaces(tail) if single else tail
 
 
 def tokens(text: Column) -> Column:

@@ -16,8 +16,8 @@ from lekhya.stored import stored
 BINS = (0.0, 0.3, 0.5, 1.0, 2.0, 5.0)
 
 
-#: Differing words of a side from which on a pair is long.
-LONG = 1000
+#: Differing words of a side from which on a pair is long: shorter ones cost less in the JVM.
+LONG = 64
 
 
 def score(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose=text.nfc, normalize: bool = True, long_texts: bool = False) -> DataFrame:
