@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from lekhya.functions import arrays, text
 from lekhya.operators import cleanup, errors, loanwords, numbers, repair, sampling, scoring, segments, split
 from lekhya.plans import views
 from lekhya.sources import audio, readers, writers
-from lekhya.stored import stored
+from lekhya.stored import shared_dir, stored
 
 KEYS = ["conv_id", "turn"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,3 +430,69 @@ def segment_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = audio.decoded(files, ["recording_id", "segment_idx", "audio_path", "content"], views.RATE)
     size = F.octet_length("content").cast("long").alias("n_bytes")
     return read.select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), "audio_path", size, F.sha2("content", 256).alias("sha256"), F.size("samples").cast("long").alias("n_samples"), "error")
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all machines share."""
+    return f"{shared_dir(spark)}/lekhya/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the kept segments, written as JSON lines and read back."""
+    made = segments.build(views.recordings(spark, sf_dir), views.transcripts(spark, sf_dir), "latin", views.RATE)
+    path = _file(spark, "manifest")
+    writers.manifest(writers.manifest_rows(made), path)
+    return readers.manifest(spark, path).withColumn("segment_idx", F.col("segment_idx").cast("long"))
+
+
+@query
+def dataset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments in the shape of a speech dataset, written by split and read back; its text is found by the name of its column."""
+    rows = split.group_split(views.seg(spark, sf_dir)).withColumn("audio_path", writers.audio_path("segments"))
+    path = _file(spark, "dataset")
+    writers.dataset(readers.dataset_columns(rows, ["split"]), path)
+    got = readers.dataset(spark, path)
+    return got.select("split", "recording_id", F.col("audio.path").alias("path"), F.col("audio.sampling_rate").cast("long").alias("rate"), F.length(readers.text_column(got)).cast("long").alias("n_chars"), "duration")
+
+
+@query
+def wer_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by role, as two models, written as CSV in percent and read back."""
+    scored = views.noted(spark, sf_dir).select(F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd").alias("model"), F.size("word_errors").alias("edits"), "ref_words")
+    table = scoring.corpus(scored, ["model"]).withColumn("dataset", F.lit("turns"))
+    path = _file(spark, "wer-table")
+    writers.wer_table(table, path)
+    return spark.read.csv(path, header=True).select("Model", "Dataset", F.col("WER (%)").alias("percent"))
+
+
+@query
+def error_sample_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with their errors as error samples, written as JSON lines and read back."""
+    rows = views.noted(spark, sf_dir).where("wer > 0")
+    samples = rows.select(F.col("conv_id").alias("recording_id"), F.col("turn").cast("int").alias("segment_idx"), F.col("ref_norm").alias("reference"), F.col("hyp_norm").alias("hypothesis"), "wer", (F.length("ref_norm") / 16.0).alias("duration"), (F.col("conv_id") % 7).alias("speaker_id"), "word_errors")
+    path = _file(spark, "error-samples")
+    writers.error_samples(samples, path)
+    got = readers.error_samples(spark, path)
+    first = F.get("word_errors", F.lit(0))
+    return got.select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), "reference", "hypothesis", "wer", "duration", "speaker_id", F.size("word_errors").cast("long").alias("n_errors"), first["type"].alias("first_type"), first["ref"].alias("first_ref"), first["hyp"].alias("first_hyp"))
+
+
+@query
+def catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a sheet of recordings, written as CSV and read back, to the assets that are to be fetched."""
+    pages = views.table(spark, sf_dir, "pages")
+    missing = F.lit(None).cast("string")
+    sheet = pages.select((F.col("page_id") % 9).alias("user_id"), F.col("page_id").alias("recording_id"), F.lit("hi").alias("language"), (F.col("page_id") / 8.0).alias("duration"), F.col("url").alias("rec_url_gcp"), F.concat("url", F.lit(".json")).alias("transcription_url_gcp"), missing.alias("metadata_url_gcp"))
+    path = _file(spark, "sheet")
+    sheet.write.csv(path, header=True)
+    read = readers.catalogue(spark, path)
+    there = read.where("recording_id % 3 = 0").select("recording_id", F.lit("audio").alias("kind"), (F.col("duration") * 8).cast("long").alias("length"))
+    return readers.missing(readers.assets(read, "http://", "https://"), there, ["recording_id", "kind"])
+
+
+@query
+def checkpoint_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of checkpoints numbered by documents."""
+    paths = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("runs/checkpoint-"), F.when(F.col("doc_id") % 5 == 0, "draft").otherwise(F.col("doc_id").cast("string"))).alias("path"))
+    return readers.choose_checkpoint(paths)

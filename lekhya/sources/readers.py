@@ -98,10 +98,10 @@ def text_column(df: DataFrame, names: Sequence[str] = lx.TEXT_COLUMNS) -> str:
     return found
 
 
-def dataset_columns(rows: DataFrame) -> DataFrame:
-    """Manifest rows in the shape of a speech dataset."""
+def dataset_columns(rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Manifest rows in the shape of a speech dataset, with the columns also as they are."""
     audio = F.struct(F.col("audio_path").alias("path"), F.lit(lx.SAMPLE_RATE).alias("sampling_rate"))
-    return rows.select(audio.alias("audio"), F.col("text").alias("sentence"), "recording_id", "duration", "speaker_id", "segment_idx")
+    return rows.select(audio.alias("audio"), F.col("text").alias("sentence"), "recording_id", "duration", "speaker_id", "segment_idx", *also)
 
 
 def choose_checkpoint(paths: DataFrame, column: str = "path") -> DataFrame:

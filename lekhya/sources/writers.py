@@ -28,16 +28,16 @@ def segment_audio(segments: DataFrame, path: str, rate: int = lx.SAMPLE_RATE, fo
 def audio_rows(segments: DataFrame, rate: int = lx.SAMPLE_RATE, folder: str = "segments") -> DataFrame:
     """(recording_id, segment_idx, audio_path, content) of the kept segments."""
     kept = segments.where("skip_reason is null")
-    return kept.select("recording_id", "segment_idx", _audio_path(folder), audio.to_wav(F.col("samples"), F.lit(rate)).alias("content"))
+    return kept.select("recording_id", "segment_idx", audio_path(folder), audio.to_wav(F.col("samples"), F.lit(rate)).alias("content"))
 
 
-def _audio_path(folder: str) -> Column:
+def audio_path(folder: str) -> Column:
     return F.concat(F.lit(f"{folder}/"), audio.segment_name(F.col("recording_id"), F.col("segment_idx"))).alias("audio_path")
 
 
 def manifest_rows(segments: DataFrame, folder: str = "segments") -> DataFrame:
     """Manifest rows of the kept segments of segments.build; their audio is that of audio_rows."""
-    return segments.where("skip_reason is null").select(_audio_path(folder), "text", "recording_id", "duration", "speaker_id", "segment_idx")
+    return segments.where("skip_reason is null").select(audio_path(folder), "text", "recording_id", "duration", "speaker_id", "segment_idx")
 
 
 def wer_table(rows: DataFrame, path: str) -> None:
