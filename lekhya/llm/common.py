@@ -124,39 +124,76 @@ def bucket_links(members: DataFrame, near: Callable[[str, str], Column], verify:
     bucket that was fuller at first, each other pair with a node outside the least one's component
     is compared, in blocks of pairs that tasks share; only pairs that pass near become rows.
     """
-    turn = F.xxhash64("key")
-    stats = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("hub"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    sized = keep(members.join(stats, F.col("key") == F.col("k")).drop("k"), "members")
-    ordered = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    sized = keep(_sized(members), "members")
     big = sized.where(F.col("n") > full)
     left, found = sized, []
     for i in range(THINNINGS):
         small, large = left.where(F.col("n") <= full), left.where(F.col("n") > full)
-        pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near("x", "y")).select(*ordered)
-        picked = large.groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(HUBS))).agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("pick"))
-        hubs = large.join(picked.select(F.col("key").alias("k"), "pick"), (F.col("key") == F.col("k")) & (F.col("node") == F.col("pick"))).drop("k", "pick")
-        stars = large.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near("x", "y")).select(*ordered)
-        found.append(verify(keep(pairs.union(stars).distinct(), "pairs")))
+        pairs = _within(small, near).union(_with_hubs(large, near))
+        found.append(verify(keep(pairs.distinct(), "pairs")))
         edges = reduce(DataFrame.union, found)
         if large.isEmpty():
             if not i:  # there was no fuller bucket
                 return edges
             break
         rooted = keep(_rooted(large, edges), "rooted")
-        rest = rooted.where("root <> home").drop("root", "home", "n", "hub").withColumn("key", F.xxhash64("key", F.lit(i)))
-        turned = rest.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("hub"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-        left = keep(rest.join(turned, F.col("key") == F.col("k")).drop("k"), "rest")
-    rooted = keep(_rooted(big, edges), "rooted")
+        rest = rooted.where("root <> home").drop("root", "home", "n", "hub")
+        left = keep(_sized(rest.withColumn("key", F.xxhash64("key", F.lit(i)))), "rest")
+    pairs = _with_outsiders(keep(_rooted(big, edges), "rooted"), near, block)
+    return edges.union(verify(keep(pairs.distinct(), "pairs")))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """members of buckets of two nodes or more, with the bucket's size n and its hub, the least node under an order of the key's own."""
+    turn = F.xxhash64("key")
+    hub = F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("hub")
+    stats = members.groupBy("key").agg(hub, F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
+    return members.join(stats, F.col("key") == F.col("k")).drop("k")
+
+
+def _ordered() -> list[Column]:
+    return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+
+
+def _within(small: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b): all pairs of each bucket that pass near."""
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near("x", "y")
+    return small.alias("x").join(small.alias("y"), met).select(*_ordered())
+
+
+def _with_hubs(large: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """(a, b): pairs that pass near of each node and up to HUBS nodes of its bucket, the least of each slice; the hub is one of them."""
+    turn = F.xxhash64("key")
+    piece = F.pmod(F.xxhash64("node", "key"), F.lit(HUBS))
+    picked = large.groupBy("key", piece).agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("pick"))
+    picked = picked.select(F.col("key").alias("k"), "pick")
+    hubs = large.join(picked, (F.col("key") == F.col("k")) & (F.col("node") == F.col("pick"))).drop("k", "pick")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near("x", "y")
+    return large.alias("x").join(hubs.alias("y"), met).select(*_ordered())
+
+
+def _with_outsiders(rooted: DataFrame, near: Callable[[str, str], Column], block: int) -> DataFrame:
+    """(a, b): pairs that pass near of each node outside its hub's component and every node of its bucket in another component.
+
+    Outsiders are cut into pieces of about block nodes, and so is the whole bucket: a task
+    compares one piece with one other.
+    """
     apart = rooted.where("root <> home").groupBy("key").agg(F.ceil(F.count("*") / block).alias("cuts")).withColumnRenamed("key", "k")
-    mixed = keep(rooted.join(apart, F.col("key") == F.col("k")).drop("k").withColumn("pieces", F.ceil(F.col("n") / block)), "mixed")
-    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mixed = rooted.join(apart, F.col("key") == F.col("k")).drop("k").withColumn("pieces", F.ceil(F.col("n") / block))
+    mixed = keep(mixed, "mixed")
+
+    def place(seed: int, n: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
     own = mixed.where("root <> home").withColumn("u", place(1, "cuts")).withColumn("v", each("pieces"))
     every = mixed.withColumn("v", place(2, "pieces")).withColumn("u", each("cuts"))
     same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "u", "v")])
     once = (F.col("y.root") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
-    pairs = own.alias("x").join(every.hint("shuffle_hash").alias("y"), same & once & (F.col("x.root") != F.col("y.root")) & near("x", "y")).select(*ordered)
-    return edges.union(verify(keep(pairs.distinct(), "pairs")))
+    met = same & once & (F.col("x.root") != F.col("y.root")) & near("x", "y")
+    return own.alias("x").join(every.hint("shuffle_hash").alias("y"), met).select(*_ordered())
 
 
 def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
