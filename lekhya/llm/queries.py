@@ -221,4 +221,37 @@ placed as (select *, row_number() over (partition by n_words >= 20 order by scor
 select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * total // 100 then place end as rank from placed
 """
 
-ORACLES: dict[str, str] = {"op3_url_filter": _OP3, "op6_source_mixing": _OP6, "op8_warc_dictionary": _OP8, "op11_merkle_manifest": _op11(), "op12_target_resampling": _OP12}
+def _op13(limits: repetition.Limits) -> str:
+    """Every measure and rule anew: n-grams as joined words, counted by text, and the words that they cover."""
+    top, dup = dict(limits.top), dict(limits.duplicated)
+    steps = []
+    for n in sorted({repetition.WINDOW, *top, *dup}):
+        steps.append(f"g{n} as (select nth, i, array_to_string(w[i:i + {n - 1}], ' ') as g from (select nth, w, unnest(range(1, len(w) - {n - 2})) as i from ws))")
+        steps.append(f"c{n} as (select nth, i, g, count(*) over (partition by nth, g) as c from g{n})")
+        steps.append(f"p{n} as (select distinct nth, i + k as pos from c{n}, range(0, {n}) t(k) where c > 1)")
+        steps.append(f"d{n} as (select p{n}.nth, count(*) as n, sum(length(word)) as chars from p{n} join words on words.nth = p{n}.nth and words.i = pos group by p{n}.nth)")
+        steps.append(f"t{n} as (select nth, max(c * length(replace(g, ' ', ''))) as chars from c{n} where c > 1 group by nth)")
+    joins = " ".join(f"left join d{n} on d{n}.nth = a.nth left join t{n} on t{n}.nth = a.nth" for n in sorted({repetition.WINDOW, *top, *dup}))
+    rules = [("symbols", f"n_symbols > {limits.symbols_per_word}::double * greatest(n_words, 1)"), ("duplicate_lines", f"n_dup_lines > {limits.duplicate_lines}::double * greatest(n_lines, 1)"), ("duplicate_line_chars", f"dup_line_chars > {limits.duplicate_line_chars}::double * greatest(word_chars, 1)")]
+    rules += [(f"top_{n}gram", f"coalesce(t{n}.chars, 0) > {most}::double * greatest(word_chars, 1)") for n, most in limits.top] + [(f"dup_{n}gram", f"coalesce(d{n}.chars, 0) > {most}::double * greatest(word_chars, 1)") for n, most in limits.duplicated]
+    broken = ", ".join(f"case when {on} then '{name}' end" for name, on in rules)
+    space = r"\x20\x09-\x0D"
+    return rf"""
+with texts as (select row_number() over () as nth, doc_id, coalesce(text, '') as text from documents),
+ws as (select nth, regexp_extract_all(text, '[^{space}]+') as w from texts),
+words as (select nth, unnest(w) as word, generate_subscripts(w, 1) as i from ws),
+sizes as (select nth, count(*) as n_words, sum(length(word)) as word_chars from words group by nth),
+rows_ as (select nth, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from texts),
+lines as (select nth, line, row_number() over (partition by nth, line order by k) > 1 as again from rows_ where regexp_matches(line, '[^{space}]')),
+per_line as (select nth, count(*) as n_lines, count(*) filter (again) as n_dup_lines, coalesce(sum(length(regexp_replace(line, '[{space}]', '', 'g'))) filter (again), 0) as dup_line_chars from lines group by nth),
+a as (select texts.nth, doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_lines, 0) as n_lines,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(dup_line_chars, 0) as dup_line_chars from texts left join sizes using (nth) left join per_line using (nth)),
+{", ".join(steps)},
+told as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(d{repetition.WINDOW}.n, 0) as n_repeat_words, array_to_string(list_filter([{broken}], lambda x: x is not null), ',') as broken from a {joins})
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+  n_words < {repetition.LEAST_WORDS} or 100 * n_repeat_words > {repetition.MOST_REPEATED_PCT} * n_words as base_failed,
+  not (n_words < {repetition.LEAST_WORDS} or 100 * n_repeat_words > {repetition.MOST_REPEATED_PCT} * n_words) and broken = '' as kept, broken from told
+"""
+
+
+ORACLES: dict[str, str] = {"op3_url_filter": _OP3, "op6_source_mixing": _OP6, "op8_warc_dictionary": _OP8, "op11_merkle_manifest": _op11(), "op12_target_resampling": _OP12, "op13_repetition_rules": _op13(repetition.Limits())}
