@@ -91,17 +91,18 @@ def unlike_edits(p: Column) -> Column:
     return F.when(p.isNotNull(), F.when(shorter == 0, longer).otherwise(let(_letters(p), table)))
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Least number of word edits between two arrays of words, in the JVM; null where one is null. For texts of many thousands of words see long_edits."""
-    return F.when(ref == hyp, F.lit(0)).otherwise(let(unlike(ref, hyp), unlike_edits))
-
-
 @arrow_udf(IntegerType())
 def long_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """The same for texts of any length, at the cost of the length and of the edits squared where these are few, else of the table in bits. An Arrow function."""
     return distance.edits(ref, hyp)
 
 
+def word_edits(ref: Column, hyp: Column) -> Column:
+    """Least number of word edits between two arrays of words of any length; null where one is null. Unequal arrays go to an Arrow function: lambdas of columns took five times as long at 84 words."""
+    apart = ref != hyp
+    return F.when(ref == hyp, F.lit(0)).otherwise(long_edits(F.when(apart, ref), F.when(apart, hyp)))
+
+
 def wer(edits: Column, ref_words: Column) -> Column:
     """Edits per reference word; 0 for a blank reference."""
     return F.when(ref_words > 0, edits / ref_words).otherwise(F.lit(0.0))

@@ -1,22 +1,37 @@
-"""Spoken numbers as digits, in the JVM.
+"""Spoken numbers as digits.
 
 Words become a string of one letter each: F fraction word, i number word in an idiom, n other
 number word, '.' any other. One regular expression then cuts the sentence into what is
-treated together, and each cut is rewritten on its own.
+treated together, and each cut is rewritten on its own: a lookup a word in an Arrow function.
+Lambdas of columns took some 2.3 ms a sentence of 84 words.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 from lekhya import lexicon as lx
 from lekhya.functions import text
-from lekhya.functions.once import let
 
 #: A fraction word with the numbers after it stands; idiom words stand one by one; other numbers are read as one.
 CUTS = r"F[ni]+|i|n+|[F.]"
-CONVERSION = "struct<original:string,converted:string,value:bigint,is_idiom:boolean,position:int>"
+CONVERSION = StructType().add("original", StringType()).add("converted", StringType()).add("value", LongType()).add("is_idiom", BooleanType()).add("position", IntegerType())
+RESULT = StructType().add("text", StringType()).add("conversions", ArrayType(CONVERSION))
+_NOTE = [pa.field("original", pa.string()), pa.field("converted", pa.string()), pa.field("value", pa.int64()), pa.field("is_idiom", pa.bool_()), pa.field("position", pa.int32())]
+_ADDED = lx.UNITS | lx.TENS
+_LETTER = dict.fromkeys([*_ADDED, *lx.MULTIPLIERS], "n") | dict.fromkeys(lx.FRACTIONS, "F")
+_MOST = (1 << 63) - 1
+_ANY_IDIOM = "|".join(f"(?:{p})" for p in lx.IDIOMS)
+_IDIOM, _AHEAD = re.compile(_ANY_IDIOM, re.ASCII), re.compile(f"(?={_ANY_IDIOM})", re.ASCII)
+_CUT, _TAIL = re.compile(CUTS), re.compile(f"[{lx.TAIL_MARKS}]*\\Z")
 
 
 def _table(words: dict[str, int]) -> Column:
@@ -41,54 +56,80 @@ def span_value(words: Column, numbers: dict[str, int] | None = None, multipliers
     return F.when(total > 0, total)
 
 
-def normalise(sentence: Column) -> Column:
-    """struct(text, conversions): numbers written as digits, and what was decided about each number word."""
-    words = let(text.tokens(sentence), lambda raw: F.struct(raw.alias("raw"), F.transform(raw, lambda w: text.strip_edges(w, lx.NUMBER_EDGES)).alias("clean")))
-    return F.when(sentence.isNotNull(), let(words, lambda w: _rewritten(w["raw"], w["clean"])))
-
-
-def _rewritten(raw: Column, clean: Column) -> Column:
-    known = [*lx.UNITS, *lx.TENS, *lx.MULTIPLIERS]
-
-    any_idiom = "|".join(f"(?:{p})" for p in lx.IDIOMS)
-
-    def in_idiom(i: Column) -> Column:
-        return F.array_join(F.slice(raw, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)) + 4), " ").rlike(any_idiom)
-
-    def flags(idiomatic: Column) -> Column:  # where the sentence has no idiom, no window has
-        letter = lambda w, i: F.when(w.isin(*lx.FRACTIONS), "F").when(~w.isin(*known), ".").when(idiomatic & in_idiom(i), "i").otherwise("n")
-        return F.array_join(F.transform(clean, letter), "")
-
-    def cut(f: Column) -> Column:
-        """(cut, at) of each cut: a mark before each tells at which letters cuts begin."""
-        letters = F.regexp_extract_all(F.regexp_replace(f, CUTS, "|$0"), F.lit(r"\|?[^|]"), F.lit(0))
-        heads = F.filter(F.transform(letters, lambda x, i: F.when(F.startswith(x, F.lit("|")), i)), lambda i: i.isNotNull())
-        return F.zip_with(F.regexp_extract_all(f, F.lit(CUTS), F.lit(0)), heads, lambda c, at: F.struct(c.alias("cut"), at.alias("at")))
-
-    placed = let(let(F.array_join(raw, " ").rlike(any_idiom), flags), cut)
-    note = lambda original, converted, value, idiom, at: F.struct(original.alias("original"), converted.alias("converted"), value.alias("value"), F.lit(idiom).alias("is_idiom"), at.cast("int").alias("position"))
-    nothing = F.lit(None).cast("long")
-
-    def read(p: Column) -> Column:
-        n = F.length(p["cut"])
-        value = F.when(F.startswith(p["cut"], F.lit("n")), span_value(F.slice(clean, p["at"] + 1, n)))
-        return F.struct(p["cut"].alias("cut"), p["at"].alias("at"), F.slice(raw, p["at"] + 1, n).alias("words"), value.alias("value"))
-
-    def rewrite(p: Column) -> Column:
-        last = F.get(p["words"], F.size(p["words"]) - 1)
-        digits = F.concat(p["value"].cast("string"), F.regexp_extract(last, f"[{lx.TAIL_MARKS}]+$", 0))
-        kept = F.transform(p["words"], lambda w, j: note(w, w, nothing, False, p["at"] + j))
-        notes = (
-            F.when(p["value"].isNotNull(), F.array(note(F.array_join(p["words"], " "), digits, p["value"], False, p["at"])))
-            .when(p["cut"] == "i", F.array(note(last, last, nothing, True, p["at"])))
-            .when(F.startswith(p["cut"], F.lit("n")), kept)
-            .when(F.startswith(p["cut"], F.lit("F")), F.slice(kept, F.lit(2), F.size(kept)))
-            .otherwise(F.lit([]).cast(f"array<{CONVERSION}>"))
-        )
-        return F.struct(F.coalesce(digits, F.array_join(p["words"], " ")).alias("text"), notes.alias("notes"))
+@arrow_udf(RESULT)
+def _normalised(words: pa.Array) -> pa.Array:
+    texts: list[str | None] = []
+    notes: list[tuple] = []
+    ends = [0]
+    for row in words.to_pylist():
+        texts.append(None if row is None else _rewritten(row, notes))
+        ends.append(len(notes))
+    columns = list(zip(*notes, strict=True)) or [()] * 5
+    each = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NOTE, strict=True)], fields=_NOTE)
+    null = pa.array([t is None for t in texts], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["text", "conversions"], mask=null)
+
 
-    parts = F.transform(F.transform(placed, read), rewrite)
-    return let(parts, lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: p["text"]), " ").alias("text"), F.flatten(F.transform(ps, lambda p: p["notes"])).alias("conversions")))
+#: Kept apart from what is computed of it: a Python function cannot run inside a lambda, where a merged projection would put it.
+_normalised = _normalised.asNondeterministic()
+
+
+def normalise(sentence: Column) -> Column:
+    """struct(text, conversions): numbers written as digits, and what was decided about each number word. An Arrow function over the sentence's words."""
+    return _normalised(text.tokens(sentence))
+
+
+def _value(words: list[str]) -> int | None:
+    """span_value of known number words."""
+    closed = still = 0
+    for w in words:
+        m = lx.MULTIPLIERS.get(w)
+        if m is None:
+            still += _ADDED[w]
+        elif m >= 1000:
+            closed, still = closed + max(still, 1) * m, 0
+        else:
+            still = max(still, 1) * m
+        if closed > _MOST or still > _MOST:
+            return None
+    return closed + still if 0 < closed + still <= _MOST else None
+
+
+def _in_idiom(raw: list[str]) -> set[int]:
+    """Places whose window, from two words before to three behind, holds an idiom. Only windows that an idiom begins in are tested."""
+    starts = [m.start() for m in _AHEAD.finditer(" ".join(raw))]
+    if not starts:
+        return set()
+    first = list(accumulate((len(w) + 1 for w in raw), initial=0))
+    near = {i for s in starts for i in range(bisect_right(first, s) - 4, bisect_right(first, s) + 2)}
+    return {i for i in near if 0 <= i < len(raw) and _IDIOM.search(" ".join(raw[max(i - 2, 0) : i + 4]))}
+
+
+def _rewritten(raw: list[str], notes: list[tuple]) -> str:
+    """raw with its numbers as digits; what was decided about them (original, converted, value, is_idiom, position) is added to notes."""
+    clean = [w.strip(lx.NUMBER_EDGES) for w in raw]
+    flags = "".join([_LETTER.get(w, ".") for w in clean])
+    if "n" not in flags:
+        idiomatic = set()
+    elif idiomatic := _in_idiom(raw):
+        flags = "".join("i" if f == "n" and i in idiomatic else f for i, f in enumerate(flags))
+    out: list[str] = []
+    at = 0
+    for cut in _CUT.finditer(flags):
+        at, end = cut.span()
+        kind, words = flags[at], raw[at:end]
+        value = _value(clean[at:end]) if kind == "n" else None
+        if value is not None:
+            digits = str(value) + _TAIL.search(words[-1])[0]
+            notes.append((" ".join(words), digits, value, False, at))
+            out.append(digits)
+            continue
+        if kind == "i":
+            notes.append((words[0], words[0], None, True, at))
+        elif kind != ".":  # a span without a value, or what follows a fraction word: as it is
+            notes += [(w, w, None, False, at + j) for j, w in enumerate(words) if kind == "n" or j]
+        out += words
+    return " ".join(out)
 
 
 def real(conversions: Column) -> Column:

@@ -16,10 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task gets: a turn costs some milliseconds, so a task takes seconds, however large the table is.
+ROWS_A_TASK = 2_000
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows, dealt by keys to as many tasks as there are cores where a small table arrives in fewer; a table of more partitions is left as it is."""
+    """rows, dealt by keys to a task for ROWS_A_TASK of them, and no fewer than there are cores.
+
+    How many partitions a file arrives in says nothing of their rows: a row group, of any number
+    of rows, is read by one task, and splits that hold no row group's middle are empty.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(max(cores, -(-rows.count() // ROWS_A_TASK)), *keys)
 
 
 def words(text: Column) -> Column:

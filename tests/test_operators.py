@@ -309,3 +309,31 @@ def test_tables_of_models_heads_and_failures(spark):
     assert readers.error_samples(spark, None, pairs) is pairs
     shown = pairs.select(text.normalize_for_wer(F.col("reference"), single=False)).first()[0]
     assert shown == "a  b"
+
+
+def test_rows_are_dealt_however_their_file_is_cut(spark, tmp_path):
+    """A file of one row group is read by one task, into however many splits it is cut."""
+    path = str(tmp_path / "turns")
+    spark.range(9000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = views.spread(spark.read.parquet(path), "id")
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(sizes) == 9000 and len(sizes) >= 4 and max(sizes) < 1.2 * views.ROWS_A_TASK
+
+
+def test_numbers_in_sentences_are_worth_what_their_spans_are(spark):
+    """Random spans of number words, beyond 64 bits too: the whole span is one conversion of span_value's value, or its words stand."""
+    rng = random.Random(4)
+    names = [*lx.UNITS, *lx.TENS, *[*lx.MULTIPLIERS] * 12]
+    rows = [(" ".join(["घर", *rng.choices(names, k=rng.randint(1, 14))]),) for _ in range(300)] + [("घर " + "करोड़ " * 3,), ("घर शून्य",)]
+    got = spark.createDataFrame(rows, "t string").select("t", numbers.span_value(F.slice(text.tokens(F.col("t")), 2, 99)).alias("v"), numbers.normalise(F.col("t")).alias("n")).collect()
+    for r in got:
+        words = r.t.split()[1:]
+        if not any(c.is_idiom for c in r.n.conversions):
+            assert [(c.original, c.value, c.position) for c in r.n.conversions] == ([(" ".join(words), r.v, 1)] if r.v is not None else [(w, None, 1 + i) for i, w in enumerate(words)])
+            assert r.n.text == " ".join(["घर", str(r.v)] if r.v is not None else ["घर", *words])
+    assert {r.v is None for r in got} == {True, False}
