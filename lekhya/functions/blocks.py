@@ -21,7 +21,9 @@ import pyarrow as pa
 #: A word is popular in a hypothesis of at least POPULAR_FROM words if it occurs over n // POPULAR_SHARE + 1 times.
 POPULAR_FROM, POPULAR_SHARE = 200, 100
 #: Equal pairs of words that are listed at once; a pair of texts with more stands alone.
-MATCHES = 1 << 21
+MATCHES = 1 << 18
+#: Words of both sides that are aligned at once; a longer pair stands alone. So memory hardly depends on the batch.
+PIECE = 1 << 16
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +161,16 @@ def _texts(column: pa.ListArray, words: pa.DictionaryArray, at: int) -> Words:
 
 def errors(ref: pa.ListArray, hyp: pa.ListArray) -> pa.ListArray:
     """For each pair the errors (type, ref, hyp, ref_pos, hyp_pos) in the order of the texts; null where a side is null. A null word counts as an empty one."""
+    before = np.concatenate([[0], np.cumsum(sum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ref, hyp)))])
+    out, lo = [], 0
+    while lo < len(ref):
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + PIECE, "right")) - 1)
+        out.append(_errors(ref.slice(lo, hi - lo), hyp.slice(lo, hi - lo)))
+        lo = hi
+    return pa.concat_arrays(out) if out else _errors(ref, hyp)
+
+
+def _errors(ref: pa.ListArray, hyp: pa.ListArray) -> pa.ListArray:
     both = pa.concat_arrays([x.flatten().cast(pa.string()).fill_null("") for x in (ref, hyp)]).dictionary_encode()
     r = _texts(ref, both, 0)
     h = _texts(hyp, both, int(r.first[-1]))

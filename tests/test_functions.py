@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import unicodedata
 
 import pyarrow as pa
@@ -145,3 +146,18 @@ def test_words_stripped(spark):
     assert column(spark, ["लोगों", "घरें", "तो", "किताबियों", "लड़कों"], text.strip_inflection) == ["लोग", "घरें", "तो", "किताब", "लड़क"]
     assert column(spark, ["एक्चुली", "घर", "स्टेशन"], text.borrowed_score) == [2, 0, 1]
     assert column(spark, ["http://a", "xhttp://a"], lambda c: text.rewrite_prefix(c, "http:", "https:")) == ["https://a", "xhttp://a"]
+
+
+def test_alignment_takes_memory_of_a_piece_not_of_the_batch():
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(60)]
+    refs = [rng.choices(vocabulary, k=84) for _ in range(6000)]
+    hyps = [[w + "x" if rng.random() < 0.2 else w for w in r if rng.random() > 0.08] for r in refs]
+    kind = pa.list_(pa.string())
+    whole = pa.array(refs, kind), pa.array(hyps, kind)
+    tracemalloc.start()
+    got = blocks.errors(*whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    assert got.slice(5000, 50).to_pylist() == blocks.errors(pa.array(refs[5000:5050], kind), pa.array(hyps[5000:5050], kind)).to_pylist()
