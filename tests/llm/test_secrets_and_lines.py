@@ -154,6 +154,20 @@ def test_short_lines_share_bands_as_often_as_long_ones(spark):
         assert sum(not keys[i] & keys[3000 + i] for i in range(3000)) <= 24  # independent orders miss nine on average
 
 
+def test_rows_of_hashes_hold_all_shingles_of_each_line(spark):
+    """Slices of UTF-32 are the ten-character shingles from every place, some to a row; a line in one row of hashes for each STEP shingles."""
+    rng = random.Random(12)
+    odd = ["x", "Ünïcödé ß", "😀é" * 5, "😀é" * 30, "a" * 10, "a" * 11, prose(rng, 3)] + [prose(rng, 40)[:n] for n in range(15, 30)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id long, line string").selectExpr("id", "line", "xxhash64(line) as lh")
+    got = {}
+    for r in D.shingle_hashes(rows).collect():
+        got.setdefault(r.id, []).append((r["at"], [r[f"h{k}"] for k in range(D.STEP)]))
+    count = {i: max(1, len(x) - 9) for i, x in enumerate(odd)}
+    assert {i: len(v) for i, v in got.items()} == {i: -(-n // D.STEP) for i, n in count.items()}
+    distinct = {i: len(all_shingles(x)) for i, x in enumerate(odd)}
+    assert {i: len({h for _, hs in v for h in hs}) for i, v in got.items()} == distinct and all(sum(at == 0 for at, _ in v) == 1 for v in got.values())
+
+
 def test_rows_of_no_id_or_one_id_keep_their_own_lines(spark):
     """Rows are told apart by id and text: a line goes only where an earlier row, or an earlier place, has it."""
     unique = "a unique opening line on astronomy"
