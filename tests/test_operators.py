@@ -337,3 +337,29 @@ def test_numbers_in_sentences_are_worth_what_their_spans_are(spark):
             assert [(c.original, c.value, c.position) for c in r.n.conversions] == ([(" ".join(words), r.v, 1)] if r.v is not None else [(w, None, 1 + i) for i, w in enumerate(words)])
             assert r.n.text == " ".join(["घर", str(r.v)] if r.v is not None else ["घर", *words])
     assert {r.v is None for r in got} == {True, False}
+
+
+def test_idioms_are_looked_for_at_their_first_words_only(monkeypatch):
+    class Counting:
+        def __init__(self, pattern):
+            self.pattern, self.read = pattern, 0
+
+        def __getattr__(self, name):
+            def call(text):
+                self.read += len(text)
+                return getattr(self.pattern, name)(text)
+
+            return call
+
+    seen = [Counting(getattr(numbers, n)) for n in ("_IDIOM", "_AHEAD") if hasattr(numbers, n)]
+    for counting, n in zip(seen, ("_IDIOM", "_AHEAD"), strict=False):
+        monkeypatch.setattr(numbers, n, counting)
+    raw = ["घर"] * 5000 + ["दस-बीस"] + ["घर"] * 5000
+    assert numbers._in_idiom(raw) == set(range(4997, 5003))
+    assert sum(c.read for c in seen) < 100
+    monkeypatch.undo()
+    rng = random.Random(3)
+    words = ["एक", "दो", "तीन", "चार", "नौ", "दस", "बीस", "बार", "ग्यारह", "एक-दो", "दस-बीस", "तीन-पाँच", "घर", "दस।"]
+    for _ in range(2000):
+        raw = rng.choices(words, k=rng.randint(0, 12))
+        assert numbers._in_idiom(raw) == {i for i in range(len(raw)) if numbers._IDIOM.search(" ".join(raw[max(i - 2, 0) : i + 4]))}
