@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.functions.once import let
 from lekhya.llm.common import BROADCAST_KEYS, attach, bucket_links, connected_components, differ_little, discard, keep, mask64, row_hash
 
 #: Shingle: this many characters from every place of a line; a shorter line is one shingle.
@@ -95,7 +96,9 @@ def texts_of(nodes: DataFrame, rows: DataFrame, sig: DataFrame) -> DataFrame:
 
 
 def hashed(line: str) -> Column:
-    return F.array_distinct(F.transform(shingles(F.col(line)), lambda s: F.xxhash64(s)))
+    """64-bit hashes of a line's distinct shingles: slices in UTF-32, as in shingle_hashes."""
+    first = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * SHINGLE + 1), F.lit(4))
+    return F.array_distinct(let(F.encode(line, "UTF-32"), lambda b: F.transform(first(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE))))))
 
 
 def parities(texts: DataFrame) -> DataFrame:

@@ -154,6 +154,16 @@ def test_short_lines_share_bands_as_often_as_long_ones(spark):
         assert sum(not keys[i] & keys[3000 + i] for i in range(3000)) <= 24  # independent orders miss nine on average
 
 
+def test_shingle_sets_of_pairs_are_slices_and_not_matches(spark):
+    """The sets that verify a pair hold as many shingles, and as many in common, as by brute force; no pattern is searched for."""
+    rng = random.Random(8)
+    odd = ["a", "ab" * 5, "abcdefghi", "x" * 40, "\U0001f600" * 9 + "é", "क्या हाल है भाई", *["".join(rng.choices("ab\U0001f600é", k=n)) for n in range(1, 30)]]
+    rows = spark.createDataFrame([(a, b) for a in odd for b in odd[::4]], "a string, b string").select("a", "b", D.hashed("a").alias("x"), D.hashed("b").alias("y"))
+    assert "regexp" not in rows._jdf.queryExecution().executedPlan().toString()
+    for r in rows.collect():
+        assert (len(r.x), len(set(r.x) & set(r.y))) == (len(all_shingles(r.a)), len(all_shingles(r.a) & all_shingles(r.b)))
+
+
 def test_rows_of_hashes_hold_all_shingles_of_each_line(spark):
     """Slices of UTF-32 are the ten-character shingles from every place, some to a row; a line in one row of hashes for each STEP shingles."""
     rng = random.Random(12)
