@@ -44,29 +44,32 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shingle_hashes(rows: DataFrame, step: int = STEP) -> DataFrame:
-    """(id, lh, at, h0, h1, ...): 31-bit hashes of a line's shingles, step of them a row; the last one again where a line has no more. at is 0 in a line's first row.
+    """(id, lh, at, h0, h1, ...): 64-bit hashes of a line's shingles, step of them a row; the last one again where a line has no more. at is 0 in a line's first row.
 
     In UTF-32 a shingle is a slice at a known place, so none is searched for.
     """
     wide = rows.select("id", "lh", F.encode("line", "UTF-32").alias("b")).withColumn("last", F.greatest(F.lit(0), F.octet_length("b") - 4 * SHINGLE))
     cut = wide.select("id", "lh", "b", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(4 * step))).alias("at"))
-    low = F.lit((1 << 31) - 1).cast("long")
     slices = [F.substring("b", F.least(F.col("at") + 4 * k, F.col("last")) + 1, F.lit(4 * SHINGLE)) for k in range(step)]
-    return cut.select("id", "lh", "at", *[F.hash(x).cast("long").bitwiseAND(low).alias(f"h{k}") for k, x in enumerate(slices)])
+    return cut.select("id", "lh", "at", *[F.xxhash64(x).alias(f"h{k}") for k, x in enumerate(slices)])
+
+
+def order(h: str, j: int) -> Column:
+    """A hash's place in order j: two windows of its bits, their distance the order's own, and a mask."""
+    at = 5 * j % 16
+    return F.shiftleft(h, at).bitwiseXOR(F.shiftleft(h, at + 1 + j % 24)).bitwiseXOR(F.lit(mask64(j)))
 
 
 def signatures(rows: DataFrame, rows_per_band: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(lh, least, n, keys): for each distinct line its first document, occurrences and band keys.
 
     Minima are taken within each row of STEP shingles, then in one hash aggregation by line, which
-    also removes exact copies before anything is shuffled. The orders of the minima are those of a
-    31-bit hash times an odd number of each order's own, modulo 2^31: as good as independent
-    for sets of any size (of pairs at 0.8, simulated, 0.3 % share no band from 4 shingles to 200).
+    also removes exact copies before anything is shuffled. The orders (order) need no product,
+    which Spark checks for overflow, and are as good as independent for sets of any size (of
+    pairs at 0.8, simulated, 0.3 % share no band from 5 shingles to 300).
     """
     n = rows_per_band * bands
-    low = F.lit((1 << 31) - 1).cast("long")
-    factors = [mask64(j) & (1 << 31) - 1 | 1 for j in range(n)]
-    minima = [F.min(F.least(*[(F.col(f"h{k}") * F.lit(m).cast("long")).bitwiseAND(low) for k in range(STEP)])).alias(f"m{j}") for j, m in enumerate(factors)]
+    minima = [F.min(F.least(*[order(f"h{k}", j) for k in range(STEP)])).alias(f"m{j}") for j in range(n)]
     grouped = shingle_hashes(rows).groupBy("lh").agg(F.min("id").alias("least"), F.count_if(F.col("at") == 0).alias("n"), *minima)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b * rows_per_band, (b + 1) * rows_per_band)]) for b in range(bands)]
     return grouped.select("lh", "least", "n", F.array(*keys).alias("keys"))
